@@ -4,15 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resistrum.llm import mixing, quality, urlfilter, warc
+from resistrum.llm import bpe, minhash, mixing, quality, urlfilter, warc
 from resistrum.llm.common import new_path, table
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.classes(docs, shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) = 1 THEN ws
+         ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS shingles
+  FROM w
+),
+sets AS (SELECT shingles, len(shingles) AS n, min(doc_id) AS node FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+e AS (SELECT node, n, unnest(shingles) AS x FROM sets),
+p AS (
+  SELECT a.node AS a, b.node AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+links AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach AS (SELECT node, node AS other FROM sets UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other),
+named AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM s LEFT JOIN sets ON s.shingles = sets.shingles LEFT JOIN named USING (node)
+"""
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urlfilter.judged(table(spark, sf_dir, "pages"), rules)
@@ -126,9 +161,11 @@ FROM b LEFT JOIN over USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op2_minhash": op2_minhash,
     "op3_url_filters": op3_url_filters,
     "op4_source_mixing": op4_source_mixing,
     "op8_warc": op8_warc,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op4_source_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_source_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op10_quality_rules": OP10_SQL}
