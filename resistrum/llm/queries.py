@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resistrum.llm import bpe, minhash, mixing, quality, urlfilter, warc
+from resistrum.llm import bpe, langid, minhash, mixing, quality, urlfilter, warc
 from resistrum.llm.common import new_path, table
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -95,6 +95,16 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (floor(rate) +
 """
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = langid.fitted(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return langid.predicted(docs.select("doc_id", "text"), filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
     path = new_path(spark, "warc")
@@ -165,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_url_filters": op3_url_filters,
     "op4_source_mixing": op4_source_mixing,
+    "op5_language_id": op5_language_id,
     "op8_warc": op8_warc,
     "op10_quality_rules": op10_quality_rules,
 }
