@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resistrum.llm import bpe, langid, minhash, mixing, quality, urlfilter, warc
+from resistrum.llm import bpe, langid, media, minhash, mixing, quality, urlfilter, warc
 from resistrum.llm.common import new_path, table
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -105,6 +105,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs.select("doc_id", "text"), filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
+    sized = docs.withColumn("n_bytes", F.length("bytes").cast("long"))
+    padded = sized.select("doc_id", "n_bytes", F.expr("rpad(bytes, cast(greatest(64, 64 * ceil(n_bytes / 64)) AS INT), X'00')").alias("payload"))
+    kept = media.stored(padded, "payload").drop("payload")
+    return media.facts(kept).drop("media")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
     path = new_path(spark, "warc")
@@ -176,6 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_source_mixing": op4_source_mixing,
     "op5_language_id": op5_language_id,
+    "op6_media": op6_media,
     "op8_warc": op8_warc,
     "op10_quality_rules": op10_quality_rules,
 }
