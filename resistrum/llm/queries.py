@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resistrum.llm import bpe, langid, media, minhash, mixing, quality, urlfilter, warc
+from resistrum.llm import bpe, html, langid, media, minhash, mixing, quality, urlfilter, warc
 from resistrum.llm.common import new_path, table
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -113,6 +113,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.facts(kept).drop("media")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extracted(pages, html.learned(pages))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
     path = new_path(spark, "warc")
@@ -185,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": op4_source_mixing,
     "op5_language_id": op5_language_id,
     "op6_media": op6_media,
+    "op7_html": op7_html,
     "op8_warc": op8_warc,
     "op10_quality_rules": op10_quality_rules,
 }
