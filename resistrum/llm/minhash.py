@@ -18,12 +18,12 @@ ignored elsewhere.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resistrum.llm.common import dropped, written
@@ -124,24 +124,29 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame:
+    """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. as_set turns a column of sets into arrays without repeats."""
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y")), "b")
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return both.where(100 * shared >= percent * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
+    both = both.select("a", "b", as_set("_x").alias("_x"), as_set("_y").alias("_y"))
+    sized = both.select("a", "b", F.size("_x").alias("_m"), F.size("_y").alias("_n"), F.size(F.array_intersect("_x", "_y")).alias("_shared"))
+    return sized.where(100 * F.col("_shared") >= percent * (F.col("_m") + F.col("_n") - F.col("_shared"))).select("a", "b")
 
 
-def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) for each row of docs."""
-    sketched = written(sketches(docs, shingle, bands, rows), "sketches")
-    nodes = written(sketched.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
-    placed = nodes.where("node IS NOT NULL").select("node", "n", F.explode("keys").alias("key"))
-    shared = written(placed.groupBy("key").count().where("count > 1").select("key"), "shared")
+def in_shared_buckets(placed: DataFrame) -> DataFrame:
+    """Those rows of placed (node, n, key) whose key other nodes have too, with component = node; written."""
+    shared = written(placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "shared")
     active = written(placed.join(shared, "key").withColumn("component", F.col("node")), "members")
     dropped(shared)
-    ids = active.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(written(ids, "ids"), "doc_id"), shingle), "sets")
+    return active
+
+
+def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame | None:
+    """The components (id, component) of nodes whose sets are similar; None without links.
+
+    active has a row (node, n, key, component) for each bucket of a node. In each round the members of a bucket are
+    compared with its hubs, and members that are not hubs stay as long as the bucket has more than one component.
+    """
     links, labels, hubs_each = None, None, 1
     while not active.isEmpty():
         salt = F.pmod(F.xxhash64("node"), F.lit(hubs_each))
@@ -149,7 +154,7 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = B
         other = hubs.toDF("key", "hub", "hub_n", "hub_component")
         pairs = active.join(other, "key").where("component <> hub_component").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         pairs = written(pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "pairs")
-        found = written(confirmed(pairs, sets, percent), "links")
+        found = written(confirmed(pairs, sets, percent, as_set), "links")
         links = found if links is None else written(links.union(found), "links")
         if not found.isEmpty():
             labels = written(components(links), "labels")
@@ -164,6 +169,17 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = B
         for done in (before, rest, open_, hubs, pairs):
             dropped(done)
         hubs_each *= 4
+    return labels
+
+
+def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) for each row of docs."""
+    sketched = written(sketches(docs, shingle, bands, rows), "sketches")
+    nodes = written(sketched.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
+    active = in_shared_buckets(nodes.where("node IS NOT NULL").select("node", "n", F.explode("keys").alias("key")))
+    ids = written(active.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id"), shingle), "sets")
+    labels = linked(active, sets, percent)
     if labels is not None:
         nodes = nodes.join(labels.toDF("node", "component"), "node", "left")
     else:
@@ -178,6 +194,10 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
 
     Documents without words and rows without doc_id stay.
     """
-    found = classes(docs, shingle, percent)
+    found = written(classes(docs, shingle, percent), "classes")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return stay
+    return stay.join(again, "doc_id", "left_anti").select(*docs.columns).union(stay.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
