@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from resistrum.plans import analysis
+
+QUERIES: dict = dict(analysis.QUERIES)
+ORACLE_SQL: dict = dict(analysis.ORACLE_SQL)
