@@ -3,9 +3,9 @@
 A document's set is that of its distinct word shingles. Equal sets become one node first, so that a group of
 copies costs one row. Each node's signature has one smallest hash per bin; an empty bin copies a bin that a hash
 of its number and the attempt picks, so that two sets agree in a bin with the probability of their similarity.
-Nodes with an equal band share a bucket. In each bucket, nodes of other components are compared with a few hubs
-only; those that no hub explains meet new hubs in the next round, until each bucket is one component or has no
-nodes left. Links are confirmed on the full sets. Rows per bucket stay linear in its size for each round.
+Nodes with an equal band share a bucket. In each bucket, nodes are compared with a few
+hubs of its largest component only; those that no hub explains meet new hubs in the next round, until each bucket
+is one component. Links are confirmed on the full sets. Rows per bucket stay linear in its size for each round.
 
 The default bands find a pair of similarity 0.8 with probability 0.99994.
 
@@ -32,6 +32,8 @@ from resistrum.llm.components import components
 BANDS, ROWS = 32, 6
 #: Texts at a time within a task, and words whose hashes a task remembers.
 SLICE, REMEMBERED = 200, 300_000
+#: Hubs of a bucket in a round, as times those of the round before.
+GROWTH = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -114,29 +116,32 @@ def sketches(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and the full set of shingle hashes."""
+    """doc_id, the full set of shingle hashes and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketcher(shingle)
         for ids, texts in _slices(batches):
             yield pa.record_batch([ids, pa.array([s.set_of(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>").withColumn("size", F.size("hashes"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame:
-    """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. as_set turns a column of sets into arrays without repeats."""
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y")), "b")
-    both = both.select("a", "b", as_set("_x").alias("_x"), as_set("_y").alias("_y"))
-    sized = both.select("a", "b", F.size("_x").alias("_m"), F.size("_y").alias("_n"), F.size(F.array_intersect("_x", "_y")).alias("_shared"))
+    """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. sets has doc_id, hashes and size; as_set turns hashes into an array.
+
+    Sets whose sizes differ too much are not looked at.
+    """
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x"), F.col("size").alias("_m")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y"), F.col("size").alias("_n")), "b")
+    both = both.where(100 * F.least("_m", "_n") >= percent * F.greatest("_m", "_n"))
+    sized = both.select("a", "b", "_m", "_n", F.size(F.array_intersect(as_set("_x"), as_set("_y"))).alias("_shared"))
     return sized.where(100 * F.col("_shared") >= percent * (F.col("_m") + F.col("_n") - F.col("_shared"))).select("a", "b")
 
 
 def in_shared_buckets(placed: DataFrame) -> DataFrame:
-    """Those rows of placed (node, n, key) whose key other nodes have too, with component = node; written."""
-    shared = written(placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "shared")
-    active = written(placed.join(shared, "key").withColumn("component", F.col("node")), "members")
+    """The rows of placed (node, n, key) whose key other nodes have too, as linked() takes them; written."""
+    shared = written(placed.groupBy("key").agg(F.min("node").alias("main"), F.max("node").alias("_high")).where("main < _high").drop("_high"), "shared")
+    active = written(placed.join(shared, "key").select("key", "node", "n", F.col("node").alias("component"), "main", F.lit(False).alias("mixed")), "members")
     dropped(shared)
     return active
 
@@ -144,31 +149,36 @@ def in_shared_buckets(placed: DataFrame) -> DataFrame:
 def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame | None:
     """The components (id, component) of nodes whose sets are similar; None without links.
 
-    active has a row (node, n, key, component) for each bucket of a node. In each round the members of a bucket are
-    compared with its hubs, and members that are not hubs stay as long as the bucket has more than one component.
+    active has a row (key, node, n, component, main, mixed) for each bucket of a node; main is the component with
+    most members of the bucket, and a bucket is mixed if that is less than half of them. In each round, members of
+    other components are compared with hubs of the main one, or in a mixed bucket all with hubs of any, GROWTH times
+    as many as the round before. A hub then leaves the bucket, as all members that it isn't joined to have been
+    compared with it. A bucket is done when its members are one component.
     """
     links, labels, hubs_each = None, None, 1
     while not active.isEmpty():
         salt = F.pmod(F.xxhash64("node"), F.lit(hubs_each))
-        hubs = written(active.groupBy("key", salt.alias("salt")).agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n", "component")).alias("hub")).select("key", "hub.node", "hub.n", "hub.component"), "hubs")
-        other = hubs.toDF("key", "hub", "hub_n", "hub_component")
-        pairs = active.join(other, "key").where("component <> hub_component").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = written(pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "pairs")
+        chosen = F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n", "component")).alias("hub")
+        hubs = written(active.where("component = main OR mixed").groupBy("key", salt.alias("salt")).agg(chosen).select("key", "hub.node", "hub.n", "hub.component"), "hubs")
+        pairs = active.where("component <> main OR mixed").join(hubs.toDF("key", "hub", "hub_n", "hub_component"), "key").where("component <> hub_component").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         found = written(confirmed(pairs, sets, percent, as_set), "links")
-        links = found if links is None else written(links.union(found), "links")
         if not found.isEmpty():
+            links = found if links is None else links.union(found)
             labels = written(components(links), "labels")
-        rest = active.drop("component").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
+        rest = active.select("key", "node", "n").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
         if labels is not None:
             rest = rest.join(labels.toDF("node", "component"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
         else:
-            rest = rest.select("key", "node", "n", F.col("node").alias("component"))
-        rest = written(rest, "members")
-        open_ = written(rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open")
-        before, active = active, written(rest.join(open_, "key"), "members")
-        for done in (before, rest, open_, hubs, pairs):
+            rest = rest.withColumn("component", F.col("node"))
+        rest = written(rest, "rest")
+        counts = rest.groupBy("key", "component").agg(F.count("*").alias("_members"))
+        mixed = (2 * F.max("_members") < F.sum("_members")).alias("mixed")
+        open_ = counts.groupBy("key").agg(F.max_by("component", F.struct("_members", -F.col("component"))).alias("main"), mixed, F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        before, active = active, written(rest.join(open_, "key").select("key", "node", "n", "component", "main", "mixed"), "members")
+        for done in (before, rest, hubs):
             dropped(done)
-        hubs_each *= 4
+        hubs_each *= GROWTH
     return labels
 
 
