@@ -118,8 +118,7 @@ def scored(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
 
 
 def kept(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The documents that the rules keep, with docs' columns. Texts are measured twice rather than shuffled."""
-    features = written(measured(docs.select("doc_id", "lang", "text")), "features")
-    plain = docs.columns
-    named = docs.select(F.struct(*plain).alias("_row"), "doc_id", "lang", "text")
-    return _with_cutoffs(measured(named), thresholds(features, labels, alpha, delta)).where(verdict()).select("_row.*")
+    """The documents that the rules keep, with docs' columns. Texts are measured once and written with their measures."""
+    named = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "lang", "text")
+    features = written(measured(named).drop("text"), "features")
+    return _with_cutoffs(features, thresholds(features, labels, alpha, delta)).where(verdict()).select("_row.*")
