@@ -68,5 +68,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: each document of docs as often as it is taken, with docs' columns."""
-    taken = mixed(docs, weights, most, seed).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(c) for c in taken.columns if c not in {"size", "source_size", "target", "copies"}])
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))
+    taken = mixed(packed, weights, most, seed).where("copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return taken.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
