@@ -54,6 +54,11 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffles_freed(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing holds any more; it waits for the JVM's garbage collection."""
+    spark._jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

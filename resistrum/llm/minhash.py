@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resistrum.llm.common import dropped, written
+from resistrum.llm.common import dropped, shuffles_freed, written
 from resistrum.llm.components import components
 
 BANDS, ROWS = 32, 6
@@ -126,13 +126,18 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>").withColumn("size", F.size("hashes"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, agree: float | None = None) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. sets has doc_id, hashes and size; as_set turns hashes into an array.
 
-    Sets whose sizes differ too much are not looked at.
+    Sets whose sizes differ too much are not looked at, nor, where agree is given, those whose sketches (a column of
+    sets, null for none) are equal in fewer places than that share.
     """
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x"), F.col("size").alias("_m")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y"), F.col("size").alias("_n")), "b")
+    sketch = F.lit(None).cast("array<smallint>") if agree is None else F.col("sketch")
+    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x"), F.col("size").alias("_m"), sketch.alias("_p")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y"), F.col("size").alias("_n"), sketch.alias("_q")), "b")
+    if agree is not None:
+        equal = F.size(F.filter(F.zip_with("_p", "_q", lambda x, y: x == y), lambda e: e))
+        both = both.where(F.col("_p").isNull() | F.col("_q").isNull() | (equal >= F.lit(agree) * F.size("_p")))
     both = both.where(100 * F.least("_m", "_n") >= percent * F.greatest("_m", "_n"))
     sized = both.select("a", "b", "_m", "_n", F.size(F.array_intersect(as_set("_x"), as_set("_y"))).alias("_shared"))
     return sized.where(100 * F.col("_shared") >= percent * (F.col("_m") + F.col("_n") - F.col("_shared"))).select("a", "b")
@@ -146,7 +151,7 @@ def in_shared_buckets(placed: DataFrame) -> DataFrame:
     return active
 
 
-def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame | None:
+def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, agree: float | None = None) -> DataFrame | None:
     """The components (id, component) of nodes whose sets are similar; None without links.
 
     active has a row (key, node, n, component, main, mixed) for each bucket of a node; main is the component with
@@ -162,7 +167,7 @@ def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[s
         hubs = written(active.where("component = main OR mixed").groupBy("key", salt.alias("salt")).agg(chosen).select("key", "hub.node", "hub.n", "hub.component"), "hubs")
         pairs = active.where("component <> main OR mixed").join(hubs.toDF("key", "hub", "hub_n", "hub_component"), "key").where("component <> hub_component").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        found = written(confirmed(pairs, sets, percent, as_set), "links")
+        found = written(confirmed(pairs, sets, percent, as_set, agree), "links")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = written(components(links), "labels")
@@ -178,6 +183,8 @@ def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[s
         before, active = active, written(rest.join(open_, "key").select("key", "node", "n", "component", "main", "mixed"), "members")
         for done in (before, rest, hubs):
             dropped(done)
+        del before, rest, pairs, counts, open_
+        shuffles_freed(active.sparkSession)
         hubs_each *= GROWTH
     return labels
 
