@@ -132,13 +132,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[
     Sets whose sizes differ too much are not looked at, nor, where agree is given, those whose sketches (a column of
     sets, null for none) are equal in fewer places than that share.
     """
-    sketch = F.lit(None).cast("array<smallint>") if agree is None else F.col("sketch")
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x"), F.col("size").alias("_m"), sketch.alias("_p")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y"), F.col("size").alias("_n"), sketch.alias("_q")), "b")
+    # sizes and sketches first, so that hashes are moved for the pairs that are left only
+    slim = ["doc_id", "size"] if agree is None else ["doc_id", "size", "sketch"]
+    left, right = (sets.select(slim).toDF(name, *[f"_{name}_{c}" for c in slim[1:]]) for name in "ab")
+    alike = pairs.join(left, "a").join(right, "b").where(100 * F.least("_a_size", "_b_size") >= percent * F.greatest("_a_size", "_b_size"))
     if agree is not None:
-        equal = F.size(F.filter(F.zip_with("_p", "_q", lambda x, y: x == y), lambda e: e))
-        both = both.where(F.col("_p").isNull() | F.col("_q").isNull() | (equal >= F.lit(agree) * F.size("_p")))
-    both = both.where(100 * F.least("_m", "_n") >= percent * F.greatest("_m", "_n"))
+        equal = F.size(F.filter(F.zip_with("_a_sketch", "_b_sketch", lambda x, y: x == y), lambda e: e))
+        alike = alike.where(F.col("_a_sketch").isNull() | F.col("_b_sketch").isNull() | (equal >= F.lit(agree) * F.size("_a_sketch")))
+    alike = alike.select("a", "b", F.col("_a_size").alias("_m"), F.col("_b_size").alias("_n"))
+    first = alike.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x")), "a")
+    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y")), "b")
     sized = both.select("a", "b", "_m", "_n", F.size(F.array_intersect(as_set("_x"), as_set("_y"))).alias("_shared"))
     return sized.where(100 * F.col("_shared") >= percent * (F.col("_m") + F.col("_n") - F.col("_shared"))).select("a", "b")
 
