@@ -109,6 +109,21 @@ def test_fuzzy_lines(spark):
     assert got == dict(enumerate(brute_lines(texts)))
 
 
+def test_short_lines_go_too(spark):
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.randint(1, 34))).strip() for _ in range(60)]
+    lines = [x for b in base for x in (b, b + "s", "x" + b, b[1:], b.upper(), b + b)] + ["all rights reserved.", "All rights reserved.", "aaaaaaaa", "a" * 12, "a" * 60, "ok", "OK", "ab" * 40, "ab" * 5, ""]
+    rnd.shuffle(lines)
+    texts = ["\n".join(lines[k : k + 7]) for k in range(0, len(lines), 7)]
+    split = [[x.strip().lower() for x in t.split("\n")] for t in texts]
+    flat = [(i, k, x) for i, xs in enumerate(split) for k, x in enumerate(xs) if x]
+    sets = [line_set(x[2]) for x in flat]
+    found = groups([(i, j) for i in range(len(flat)) for j in range(i) if similar(sets[i], sets[j])], range(len(flat)))
+    gone = {flat[i][:2] for i, head in found.items() if head != i}
+    got = {r.doc_id: r.text for r in linededup.deduplicated(documents(spark, texts)).collect()}
+    assert got == {i: "\n".join(raw for k, raw in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
+
+
 def test_line_dedup_uses_no_python(spark):
     plan = linededup.deduplicated(documents(spark, line_texts(3)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
