@@ -126,19 +126,19 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>").withColumn("size", F.size("hashes"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, agree: float | None = None) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, bits: bool = False) -> DataFrame:
     """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. sets has doc_id, hashes and size; as_set turns hashes into an array.
 
-    Sets whose sizes differ too much are not looked at, nor, where agree is given, those whose sketches (a column of
-    sets, null for none) are equal in fewer places than that share.
+    Sets whose sizes differ too much are not looked at. With bits (a column of sets: longs in which each member turns
+    one bit), nor are those that differ in more bits than similar sets of these sizes have members of one set only.
     """
-    # sizes and sketches first, so that hashes are moved for the pairs that are left only
-    slim = ["doc_id", "size"] if agree is None else ["doc_id", "size", "sketch"]
+    # sizes and bits first, so that hashes are moved for the pairs that are left only
+    slim = ["doc_id", "size", "bits"] if bits else ["doc_id", "size"]
     left, right = (sets.select(slim).toDF(name, *[f"_{name}_{c}" for c in slim[1:]]) for name in "ab")
     alike = pairs.join(left, "a").join(right, "b").where(100 * F.least("_a_size", "_b_size") >= percent * F.greatest("_a_size", "_b_size"))
-    if agree is not None:
-        equal = F.size(F.filter(F.zip_with("_a_sketch", "_b_sketch", lambda x, y: x == y), lambda e: e))
-        alike = alike.where(F.col("_a_sketch").isNull() | F.col("_b_sketch").isNull() | (equal >= F.lit(agree) * F.size("_a_sketch")))
+    if bits:
+        differ = F.aggregate(F.zip_with("_a_bits", "_b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+        alike = alike.where(differ * (100 + percent) <= (F.col("_a_size") + F.col("_b_size")) * (100 - percent))
     alike = alike.select("a", "b", F.col("_a_size").alias("_m"), F.col("_b_size").alias("_n"))
     first = alike.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y")), "b")
@@ -154,7 +154,7 @@ def in_shared_buckets(placed: DataFrame) -> DataFrame:
     return active
 
 
-def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, agree: float | None = None) -> DataFrame | None:
+def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, bits: bool = False) -> DataFrame | None:
     """The components (id, component) of nodes whose sets are similar; None without links.
 
     active has a row (key, node, n, component, main, mixed) for each bucket of a node; main is the component with
@@ -170,7 +170,7 @@ def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[s
         hubs = written(active.where("component = main OR mixed").groupBy("key", salt.alias("salt")).agg(chosen).select("key", "hub.node", "hub.n", "hub.component"), "hubs")
         pairs = active.where("component <> main OR mixed").join(hubs.toDF("key", "hub", "hub_n", "hub_component"), "key").where("component <> hub_component").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        found = written(confirmed(pairs, sets, percent, as_set, agree), "links")
+        found = written(confirmed(pairs, sets, percent, as_set, bits), "links")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = written(components(links), "labels")
