@@ -8,7 +8,10 @@ which about LABELLED are used, chosen by a hash; this bound is the only one. Eve
 tags `article` and `main` score nothing themselves, so that the weights hold for pages without them.
 
 Elements that are not content by their name or their class, id or role (menus, sidebars, notices, adverts, forms,
-comments) are one negative tag: their words neither score nor count as text, wherever they stand.
+comments) are one negative tag: their words neither score nor count as text, wherever they stand. A name says so by
+its last part, so that `site-footer` does, while `comments-open` and `has-sidebar` tell of a page's state. A form with
+most of the page's words is a wrapper of the page and counts as content, and so is an element with such a name if it
+holds a main heading, `main` or `article` too; menus and comments are not, however long.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by line
 feeds; empty blocks are left out.
@@ -51,9 +54,23 @@ _ITEM = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Marks of what may be longer than a page's main text, and first parts of names that tell of a state.
+_LONG = set("menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies related recommended pagination pager".split())
+_STATES = {"has", "no", "with", "without", "is", "not", "hide", "show"}
 _PARTS = re.compile(r"[a-z]+")
 
 
+def _marks(attrs: str) -> set[str]:
+    """The last part of each name in class, id and role, but for those that tell of a state."""
+    names = [_PARTS.findall(w) for m in _NAMED.finditer(attrs) for w in m[1].lower().split()]
+    return {parts[-1] for parts in names if parts and not (len(parts) > 1 and parts[0] in _STATES)}
+
+
+def _wrapper(name: str, attrs: str) -> bool:
+    """Whether an element that is out may be a wrapper of the page."""
+    return name in {"form", "fieldset"} or (name not in _OUT and name != "header" and _LONG.isdisjoint(_marks(attrs)))
+
+
 def _out(name: str, attrs: str, stack: list[tuple[str, bool]]) -> bool:
     if name in _OUT:
         return True
@@ -62,29 +79,47 @@ def _out(name: str, attrs: str, stack: list[tuple[str, bool]]) -> bool:
         return not within
     if not attrs or name in {"html", "body", "article", "main"}:
         return False
-    words = {w for m in _NAMED.finditer(attrs) for w in _PARTS.findall(m[1].lower())}
+    words = _marks(attrs)
     return not words.isdisjoint(_MARKS) or ("header" in words and not within)
 
 
+
 def items(page: str | None) -> list[tuple[str, str, str, bool, bool]]:
     """The page as (kind, name, text, in an article, content) in page order.
 
     kind is "text" (name says where: plain, heading, list or link) or "tag"; a tag's name is "boilerplate" where an
     element begins that is not content. content is false within such elements.
     """
-    page = page or ""
+    found, wrappers = _items(page or "", frozenset())
+    return _items(page or "", frozenset(wrappers))[0] if wrappers else found
+
+
+def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, bool, bool]], list[int]]:
+    """The items, and where the elements begin that are out but wrap the page; those that begin at one of kept are not out."""
     out: list[tuple[str, str, str, bool, bool]] = []
+    # by begin of an element that may be a wrapper: its words, and whether it may be one for its words alone or by what it holds
+    held: dict[int, list] = {}
+    around: list[tuple[int, int]] = []
+    always, n_words = 0, 0
     stack: list[tuple[str, bool]] = []
     barred, at, articles = 0, 0, 0
 
     def shut(k: int) -> None:
-        nonlocal barred, articles
+        nonlocal barred, articles, always
+        while around and around[-1][0] >= k:
+            always -= around.pop()[1] < 0
         for name, bars in stack[k:]:
             barred -= bars
             articles -= name == "article"
         del stack[k:]
 
     def text(raw: str) -> None:
+        nonlocal n_words
+        if not always:
+            n = len(raw.split())
+            n_words += n
+            for _, begin in around:
+                held[begin][0] += n
         names = {n for n, _ in stack}
         where = "link" if "a" in names else "heading" if names & {"h1", "h2", "h3", "h4", "h5", "h6"} else "list" if "li" in names else "plain"
         out.append(("text", where, html.unescape(raw), articles > 0, not barred))
@@ -115,7 +150,16 @@ def items(page: str | None) -> list[tuple[str, str, str, bool, bool]]:
                     break
                 if stack[k][0] in _SHUTS[name]:
                     break
-        bars = name not in _VOID and _out(name, m["attrs"] or "", stack)
+        bars = name not in _VOID and m.start() not in kept and _out(name, m["attrs"] or "", stack)
+        if name in {"h1", "main", "article"} and not always:
+            for _, begin in around:
+                held[begin][1] = True
+        if bars:
+            may = _wrapper(name, m["attrs"] or "")
+            around.append((len(stack), m.start() if may else -1))
+            always += not may
+            if may:
+                held[m.start()] = [0, name in {"form", "fieldset"}]
         out.append(("tag", "boilerplate" if bars and not barred else name, "", articles > 0, not barred))
         if name not in _VOID:
             stack.append((name, bars))
@@ -123,7 +167,7 @@ def items(page: str | None) -> list[tuple[str, str, str, bool, bool]]:
             articles += name == "article"
     if at < len(page):
         text(page[at:])
-    return out
+    return out, [begin for begin, (n, whole) in held.items() if whole and 2 * n > n_words]
 
 
 def counted(page: str | None) -> Counter:

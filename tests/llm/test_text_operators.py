@@ -123,6 +123,21 @@ def test_op6_facts(spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
+WRAPPED = "<h1>Title of it with some more words in one long line</h1><p>" + "many words of the main text " * 9 + "</p>"
+WRAPPED_TEXT = "Title of it with some more words in one long line\n" + ("many words of the main text " * 9).strip()
+
+
+@pytest.mark.parametrize("begin", ['<div class="content has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="post comments-open">', '<div class="layout menu-left">', '<div class="right-sidebar">', '<form action="x"><div>', '<form><div class="overlay">'])
+def test_wrappers_of_the_page_are_kept(begin):
+    page = f'<body>{begin}<nav>{"menu words " * 200}</nav>{WRAPPED}<div class="site-footer">our footer</div><div class="comments">{"a comment " * 300}</div></div></form></body>'
+    assert html.main_text(page, html.weights_of({})) == WRAPPED_TEXT
+
+
+@pytest.mark.parametrize("out", ['<form>{}</form>', '<div class="ad">{}</div>', '<div class="cookie-banner">{}</div>', '<ul class="menu">{}</ul>'])
+def test_small_parts_that_are_not_content_stay_out(out):
+    assert html.main_text(f'<body>{WRAPPED}{out.format("some other words")}</body>', html.weights_of({})) == WRAPPED_TEXT
+
+
 def test_op7_is_the_article(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op7_html(spark, sf).collect():
