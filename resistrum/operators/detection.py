@@ -143,6 +143,32 @@ def _glm(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nd
     return new, cov, mu, phi
 
 
+def _two_sided(t: float, df: int) -> float:
+    """The probability of a larger absolute value of Student's t, by its finite sums; 1 without degrees of freedom."""
+    if df < 1:
+        return 1.0
+    angle = math.atan(abs(t) / math.sqrt(df))
+    total, term = 0.0, math.cos(angle) if df % 2 else 1.0
+    for k in range(df // 2):
+        total += term
+        term *= math.cos(angle) ** 2 * ((2 * k + 2) / (2 * k + 3) if df % 2 else (2 * k + 1) / (2 * k + 2))
+    inside = (angle + math.sin(angle) * total) * 2 / math.pi if df % 2 else math.sin(angle) * total
+    return max(0.0, 1.0 - inside)
+
+
+def _reweighted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients, covariance and dispersion of a fit in which high residuals of a first one lose weight."""
+    w = np.ones(len(y))
+    _, cov, mu, phi = _glm(x, y, w)
+    h = np.clip(w * mu * np.einsum("ij,jk,ik->i", x, cov, x), 0, 0.999)
+    # residuals on the scale that makes Poisson counts near normal
+    r = 1.5 * (y ** (2 / 3) * mu ** (-1 / 6) - np.sqrt(mu)) / np.sqrt(max(phi, 1) * (1 - h))
+    w = np.where(r > 1, np.maximum(r, 1) ** -2.0, 1.0)
+    w *= len(w) / w.sum()
+    b, cov, _, phi = _glm(x, y, w)
+    return b, cov, phi
+
+
 def _farrington(own: pd.DataFrame, years: int, half: int, per_year: int, z: float) -> pd.DataFrame:
     own = own.sort_values("day").reset_index(drop=True)
     y, n, out = own["cases"].to_numpy(dtype=float), len(own), []
@@ -152,14 +178,12 @@ def _farrington(own: pd.DataFrame, years: int, half: int, per_year: int, z: floa
             continue
         x = np.column_stack([np.ones(len(ref)), (np.array(ref) - t) / per_year])
         try:
-            w = np.ones(len(ref))
-            _, cov, mu, phi = _glm(x, y[ref], w)
-            h = np.clip(w * mu * np.einsum("ij,jk,ik->i", x, cov, x), 0, 0.999)
-            # residuals on the scale that makes Poisson counts near normal; high ones lose weight
-            r = 1.5 * (y[ref] ** (2 / 3) * mu ** (-1 / 6) - np.sqrt(mu)) / np.sqrt(max(phi, 1) * (1 - h))
-            w = np.where(r > 1, np.maximum(r, 1) ** -2.0, 1.0)
-            w *= len(w) / w.sum()
-            b, cov, _, phi = _glm(x, y[ref], w)
+            b, cov, phi = _reweighted(x, y[ref])
+            # the trend's test takes the dispersion as it is, the bound one of at least 1
+            error = math.sqrt(max(0.0, phi * cov[1, 1]))
+            known = error > 0 and _two_sided(b[1] / error, len(ref) - 2) < 0.05
+            if years < 3 or not known or math.exp(min(b[0], 700.0)) > y[ref].max():
+                b, cov, phi = _reweighted(x[:, :1], y[ref])
         except np.linalg.LinAlgError:
             continue
         phi, expected = max(phi, 1.0), float(np.exp(b[0]))
@@ -170,7 +194,11 @@ def _farrington(own: pd.DataFrame, years: int, half: int, per_year: int, z: floa
 
 
 def farrington(series: DataFrame, years: int = 5, half: int = 3, per_year: int = 52, z: float = 2.5758293035489004) -> DataFrame:
-    """Quasi-Poisson regression with trend on the same weeks of years before, reweighted once; the 2/3-power bound."""
+    """Quasi-Poisson regression on the same weeks of years before, reweighted once; the 2/3-power bound.
+
+    The trend stays if it is significant at 0.05 over three years or more and predicts no more than the largest
+    reference value. Series hold a row for each week, those without cases too.
+    """
     fit = lambda own: _farrington(own, years, half, per_year, z)
     return series.groupBy("location", "signal").applyInPandas(fit, "location string, signal string, day date, cases long, expected double, upper double, alarm boolean")
 

@@ -348,8 +348,8 @@ def bernoulli_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def farrington_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.ast(spark, sf_dir).select(F.col("organism").alias("signal"), F.lit("all").alias("location"), F.col("specimen_date").alias("day"))
-    weekly = e.groupBy("location", "signal", F.date_trunc("week", "day").cast("date").alias("day")).agg(F.count("*").alias("cases"))
-    return detection.farrington(weekly)
+    weeks = detection.periods(detection.daily(e).where("location = 'all'"))
+    return detection.farrington(weeks.withColumnRenamed("period_end", "day"))
 
 
 @query()

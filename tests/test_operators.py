@@ -3,11 +3,14 @@
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from resistrum.functions import clinical, stats
 from resistrum.operators import cohort, detection, federated, rules, susceptibility
+from resistrum.plans import analysis
 
 DAY = dt.date(2026, 1, 1)
 
@@ -106,6 +109,27 @@ def test_farrington_alarms_on_a_jump(spark):
     assert [r.cases for r in got] == [60] and got[0].expected == pytest.approx(11, abs=1)
 
 
+def test_farrington_drops_a_trend_that_tells_nothing():
+    assert detection._two_sided(2.0, 1) == pytest.approx(0.2951672, abs=1e-6)
+    assert detection._two_sided(2.2281389, 10) == pytest.approx(0.05, abs=1e-6)
+    assert detection._two_sided(2.0345153, 33) == pytest.approx(0.05, abs=1e-6)
+    own = pd.DataFrame({"location": "A", "signal": "s", "day": [day(7 * k) for k in range(313)], "cases": [8 + (k * 7) % 5 for k in range(313)]})
+    got = detection._farrington(own, 5, 3, 52, 2.576).iloc[-1]
+    ref = [own["cases"][312 - 52 * b + d] for b in range(1, 6) for d in range(-3, 4)]
+    _, cov, phi = detection._reweighted(np.ones((35, 1)), np.array(ref, dtype=float))
+    b = detection._reweighted(np.ones((35, 1)), np.array(ref, dtype=float))[0]
+    assert got.expected == pytest.approx(float(np.exp(b[0])), rel=1e-9)
+
+
+def test_farrington_alarms_counts_weeks_without_cases(spark, monkeypatch):
+    # a case every fourth week for six years, then eight in one week
+    rows = [(7 * k) for k in range(0, 312, 4)] + [7 * 312] * 8
+    e = spark.createDataFrame([("org", day(n)) for n in rows], "organism string, specimen_date date")
+    monkeypatch.setattr(analysis.adapters, "ast", lambda *_: e)
+    got = analysis.farrington_alarms(spark, "").collect()
+    assert [(r.location, r.cases, r.alarm) for r in got] == [("all", 8, True)] and got[0].expected < 1
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "event_id long, signal string, location string, patient long, day date")
     assert detection.prospective_windows(e).count() == cohort.episodes(e).count() == 0
