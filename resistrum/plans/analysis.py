@@ -334,7 +334,7 @@ def scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.scan(adapters.events(spark, sf_dir), replicates=99, report=1.0)
+    return detection.scan(adapters.events(spark, sf_dir), replicates=999, max_days=60, report=1.0)
 
 
 @query("""WITH c AS (SELECT organism, agent, location, count(*) FILTER (result = 'R') AS observed, count(*) AS tested FROM v_ast WHERE result IS NOT NULL GROUP BY ALL),
@@ -354,7 +354,7 @@ def farrington_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bayesian_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detection.prospective_windows(adapters.events(spark, sf_dir))
+    found = detection.prospective_windows(adapters.events(spark, sf_dir), max_days=30)
     return detection.bayesian_scan(found.select("signal", "location", "days", "observed", "expected"))
 
 

@@ -130,6 +130,15 @@ def test_farrington_alarms_counts_weeks_without_cases(spark, monkeypatch):
     assert [(r.location, r.cases, r.alarm) for r in got] == [("all", 8, True)] and got[0].expected < 1
 
 
+def test_scans_take_the_settings_of_the_reference(spark, monkeypatch):
+    rows = [(k, "s", "L1" if k % 5 else "L2", k, day(k % 120)) for k in range(240)] + [(500 + k, "s", "L2", k, day(100 + k % 20)) for k in range(20)]
+    e = spark.createDataFrame(rows, "event_id long, signal string, location string, patient long, day date")
+    monkeypatch.setattr(analysis.adapters, "events", lambda *_: e)
+    assert analysis.bayesian_windows(spark, "").agg(F.max("days")).first()[0] == 30
+    got = {r.location: r for r in analysis.scan_clusters(spark, "").collect()}
+    assert got["L2"].days > 14 and got["L2"].p_value < 0.01
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "event_id long, signal string, location string, patient long, day date")
     assert detection.prospective_windows(e).count() == cohort.episodes(e).count() == 0
