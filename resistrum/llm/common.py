@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A lookup table with more rows than this is not broadcast.
 BROADCAST_ROWS = 100_000
+#: Of a join's keys, those with more rows than this are dealt over several tasks: the MOST_HOT most frequent, PARTS tasks at most.
+HOT_ROWS, MOST_HOT, PARTS = 1000, 1000, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +56,6 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffles_freed(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing holds any more; it waits for the JVM's garbage collection."""
-    spark._jvm.System.gc()
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
@@ -83,6 +80,23 @@ def lookup_join(df: DataFrame, small: DataFrame, key: str, salt: Column, rows: i
     return dealt.join(copies, match & (dealt["_lookup_salt"] == copies["_lookup_copy"])).drop("_lookup_key", "_lookup_salt", "_lookup_copy")
 
 
+def dealt_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of big (written) and small (at most one row per key) in which no key's rows meet in one task.
+
+    The rows of hot keys are dealt by `by`, with a copy of small's row for each part; any key that isn't among the
+    MOST_HOT has less than a MOST_HOT-th of all rows. counts may give the rows of big (_n) by key.
+    """
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n")) if counts is None else counts
+    hot = counts.where(F.col("_n") > HOT_ROWS)
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    hot = written(hot.orderBy(F.desc("_n")).limit(MOST_HOT).select(*keys, F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(PARTS)).cast("int").alias("_parts")), "hot")
+    parts = F.coalesce("_parts", F.lit(1))
+    left = big.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(by, parts).cast("int")).drop("_parts")
+    right = small.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its rows' places 0, 1, ... in a global order, sorted and counted by partition.
 

@@ -3,9 +3,9 @@
 A document's set is that of its distinct word shingles. Equal sets become one node first, so that a group of
 copies costs one row. Each node's signature has one smallest hash per bin; an empty bin copies a bin that a hash
 of its number and the attempt picks, so that two sets agree in a bin with the probability of their similarity.
-Nodes with an equal band share a bucket. In each bucket, nodes are compared with a few
-hubs of its largest component only; those that no hub explains meet new hubs in the next round, until each bucket
-is one component. Links are confirmed on the full sets. Rows per bucket stay linear in its size for each round.
+Nodes with an equal band share a bucket. In each bucket, nodes are compared with its smallest set only (a star);
+members that aren't similar to it meet again by what this hub lacks (see linked), until no bucket holds two
+components that could be one. Links are confirmed on the full sets. Pairs grow with the members of buckets.
 
 The default bands find a pair of similarity 0.8 with probability 0.99994.
 
@@ -26,14 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resistrum.llm.common import dropped, shuffles_freed, written
+from resistrum.llm.common import BROADCAST_ROWS, dealt_join, dropped, written
 from resistrum.llm.components import components
 
 BANDS, ROWS = 32, 6
 #: Texts at a time within a task, and words whose hashes a task remembers.
 SLICE, REMEMBERED = 200, 300_000
-#: Hubs of a bucket in a round, as times those of the round before.
-GROWTH = 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -116,97 +114,120 @@ def sketches(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, the full set of shingle hashes and its size."""
+    """The full set of shingle hashes of each doc_id, as (node, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketcher(shingle)
         for ids, texts in _slices(batches):
-            yield pa.record_batch([ids, pa.array([s.set_of(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+            yield pa.record_batch([ids, pa.array([s.set_of(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes array<long>").withColumn("size", F.size("hashes"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, set array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, bits: bool = False) -> DataFrame:
-    """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. sets has doc_id, hashes and size; as_set turns hashes into an array.
+def similar(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame:
+    """Those pairs (hub, node, with the sizes hub_n and n) whose sets have 100 * intersection >= percent * union.
 
-    Sets whose sizes differ too much are not looked at. With bits (a column of sets: longs in which each member turns
-    one bit), nor are those that differ in more bits than similar sets of these sizes have members of one set only.
+    sets has a row (node, set) per node; as_set turns set into an array. Pairs of too different sizes are not looked at.
     """
-    # sizes and bits first, so that hashes are moved for the pairs that are left only
-    slim = ["doc_id", "size", "bits"] if bits else ["doc_id", "size"]
-    left, right = (sets.select(slim).toDF(name, *[f"_{name}_{c}" for c in slim[1:]]) for name in "ab")
-    alike = pairs.join(left, "a").join(right, "b").where(100 * F.least("_a_size", "_b_size") >= percent * F.greatest("_a_size", "_b_size"))
-    if bits:
-        differ = F.aggregate(F.zip_with("_a_bits", "_b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-        alike = alike.where(differ * (100 + percent) <= (F.col("_a_size") + F.col("_b_size")) * (100 - percent))
-    alike = alike.select("a", "b", F.col("_a_size").alias("_m"), F.col("_b_size").alias("_n"))
-    first = alike.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_x")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_y")), "b")
-    sized = both.select("a", "b", "_m", "_n", F.size(F.array_intersect(as_set("_x"), as_set("_y"))).alias("_shared"))
-    return sized.where(100 * F.col("_shared") >= percent * (F.col("_m") + F.col("_n") - F.col("_shared"))).select("a", "b")
+    alike = written(pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "node", "hub_n", "n"), "pairs")
+    shared = F.size(F.array_intersect(as_set("_x"), as_set("_y")))
+    both = _with_sets(alike, sets)
+    return both.where((100 + percent) * shared >= percent * (F.col("n") + F.col("hub_n"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (written) with the sets _x of hub and _y of node."""
+    members = pairs.join(sets.select("node", F.col("set").alias("_y")), "node")
+    counts = pairs.groupBy("hub").agg(F.count("*").alias("_n"))
+    return dealt_join(members, sets.select(F.col("node").alias("hub"), F.col("set").alias("_x")), ["hub"], F.xxhash64("node"), counts)
 
 
 def in_shared_buckets(placed: DataFrame) -> DataFrame:
-    """The rows of placed (node, n, key) whose key other nodes have too, as linked() takes them; written."""
-    shared = written(placed.groupBy("key").agg(F.min("node").alias("main"), F.max("node").alias("_high")).where("main < _high").drop("_high"), "shared")
-    active = written(placed.join(shared, "key").select("key", "node", "n", F.col("node").alias("component"), "main", F.lit(False).alias("mixed")), "members")
+    """The distinct rows (key, node) of placed (written) whose key other nodes have too; written."""
+    buckets = placed.groupBy("key").agg(F.min("node").alias("_low"), F.max("node").alias("_high"), F.count("*").alias("_n"))
+    shared = written(buckets.where("_low < _high").select("key", "_n"), "shared")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = placed.join(F.broadcast(shared.select("key")), "key")
+    else:
+        met = dealt_join(placed, shared.select("key"), ["key"], F.xxhash64("node"), shared)
+    active = written(met.select("key", "node").distinct(), "members")
     dropped(shared)
     return active
 
 
-def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, bits: bool = False) -> DataFrame | None:
-    """The components (id, component) of nodes whose sets are similar; None without links.
+def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """groups (written) with the components so far: of hub as hub_label, of node as label; written."""
+    if labels is None:
+        return groups.withColumn("hub_label", F.col("hub")).withColumn("label", F.col("node"))
+    own = groups.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_hubs = groups.select("hub").distinct().join(labels.toDF("hub", "hub_label"), "hub", "left").select("hub", F.coalesce("hub_label", "hub").alias("hub_label"))
+    return written(dealt_join(own, of_hubs, ["hub"], F.xxhash64("node"), groups.groupBy("hub").agg(F.count("*").alias("_n"))), "labelled")
 
-    active has a row (key, node, n, component, main, mixed) for each bucket of a node; main is the component with
-    most members of the bucket, and a bucket is mixed if that is less than half of them. In each round, members of
-    other components are compared with hubs of the main one, or in a mixed bucket all with hubs of any, GROWTH times
-    as many as the round before. A hub then leaves the bucket, as all members that it isn't joined to have been
-    compared with it. A bucket is done when its members are one component.
+
+def _rest(percent: int, as_set: Callable[[str], Column]) -> Column:
+    """Of a node's set _y, those least members that its hub's set _x lacks of which it shares one with each similar node in another component.
+
+    A node similar to this one has at least percent % of its size, and as many as the hub; so they share at least `need`
+    members, of which the hub can have no more than it shares with this node.
     """
-    links, labels, hubs_each = None, None, 1
+    need = F.ceil(F.lit(percent) * (F.col("n") + F.greatest(F.col("hub_n"), F.ceil(F.col("n") * percent / 100))) / (100 + percent))
+    lacks = F.array_sort(F.array_except(as_set("_y"), as_set("_x")))
+    return F.transform(F.array(lacks), lambda r: F.slice(r, F.lit(1), F.size(r) + 1 - F.greatest(F.lit(1), need - F.col("n") + F.size(r)).cast("int")))[0]
+
+
+def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame | None:
+    """The components (id, component) of nodes that similar ones join, if they share a bucket; None without links.
+
+    active has a row (key, node, n) for each bucket of a node, n the size of its set. A bucket's hub is its smallest
+    set. All members are compared with it, so that pairs grow with members. Two members of which one isn't similar to
+    the hub can be similar only if they share a member of their sets that the hub lacks, as the hub is not larger than
+    either. These, by hub, are the next round's buckets, if more than one component meets there. No pair is lost, and
+    each round's buckets lack the hub of the one before.
+    """
+    links, labels = None, None
     while not active.isEmpty():
-        salt = F.pmod(F.xxhash64("node"), F.lit(hubs_each))
-        chosen = F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n", "component")).alias("hub")
-        hubs = written(active.where("component = main OR mixed").groupBy("key", salt.alias("salt")).agg(chosen).select("key", "hub.node", "hub.n", "hub.component"), "hubs")
-        pairs = active.where("component <> main OR mixed").join(hubs.toDF("key", "hub", "hub_n", "hub_component"), "key").where("component <> hub_component").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        found = written(confirmed(pairs, sets, percent, as_set, bits), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = written(components(links), "labels")
-        rest = active.select("key", "node", "n").join(hubs.select("key", "node"), ["key", "node"], "left_anti")
-        if labels is not None:
-            rest = rest.join(labels.toDF("node", "component"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        else:
-            rest = rest.withColumn("component", F.col("node"))
-        rest = written(rest, "rest")
-        counts = rest.groupBy("key", "component").agg(F.count("*").alias("_members"))
-        mixed = (2 * F.max("_members") < F.sum("_members")).alias("mixed")
-        open_ = counts.groupBy("key").agg(F.max_by("component", F.struct("_members", -F.col("component"))).alias("main"), mixed, F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        before, active = active, written(rest.join(open_, "key").select("key", "node", "n", "component", "main", "mixed"), "members")
-        for done in (before, rest, hubs):
+        hubs = written(active.groupBy("key").agg(F.min(F.struct("n", "node")).alias("h"), F.count("*").alias("_n")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "_n"), "hubs")
+        met = dealt_join(active, hubs.drop("_n"), ["key"], F.xxhash64("node"), hubs.select("key", "_n")).where("node <> hub")
+        groups = written(met.groupBy("hub", "hub_n", "node", "n").agg(F.count("*").alias("keys")), "groups")
+        # the hub that shares most buckets with a node first, as its links mostly settle the others
+        best = written(groups.groupBy("node").agg(F.max(F.struct("keys", "hub", "hub_n", "n")).alias("b")).select("node", "b.hub", "b.hub_n", "b.n"), "best")
+        for some in (best, None):
+            if some is None:
+                some = _labelled(groups, labels).where("label <> hub_label").join(best, ["hub", "node"], "left_anti")
+            found = written(similar(some, sets, percent, as_set), "links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                labels = written(components(links), "labels")
+        labelled = _labelled(groups, labels)
+        open_ = labelled.groupBy("hub").agg(F.count("*").alias("_n"), F.max(F.col("label") != F.col("hub_label")).alias("_open")).where("_open AND _n > 1")
+        members = written(dealt_join(labelled, open_.select("hub"), ["hub"], F.xxhash64("node"), open_.select("hub", "_n")).select("hub", "hub_n", "node", "n", "label"), "open")
+        rest = _with_sets(members, sets).select("hub", "node", "n", "label", F.explode(_rest(percent, as_set)).alias("_member"))
+        placed = written(rest.select(F.xxhash64("hub", "_member").alias("key"), "node", "n", "label"), "placed")
+        buckets = written(placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high").select("key", "_n"), "shared")
+        active = written(dealt_join(placed, buckets.select("key"), ["key"], F.xxhash64("node"), buckets).select("key", "node", "n").distinct(), "members")
+        for done in (hubs, best, groups, members, placed, buckets):
             dropped(done)
-        del before, rest, pairs, counts, open_
-        shuffles_freed(active.sparkSession)
-        hubs_each *= GROWTH
     return labels
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) for each row of docs."""
     sketched = written(sketches(docs, shingle, bands, rows), "sketches")
-    nodes = written(sketched.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
-    active = in_shared_buckets(nodes.where("node IS NOT NULL").select("node", "n", F.explode("keys").alias("key")))
+    nodes = written(sketched.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("_n")), "nodes")
+    known = nodes.where("node IS NOT NULL")
+    active = in_shared_buckets(written(known.select("node", F.explode("keys").alias("key")), "placed"))
     ids = written(active.select(F.col("node").alias("doc_id")).distinct(), "ids")
     sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id"), shingle), "sets")
-    labels = linked(active, sets, percent)
+    labels = linked(active.join(known.select("node", "n"), "node"), sets, percent)
+    dropped(sets)
     if labels is not None:
         nodes = nodes.join(labels.toDF("node", "component"), "node", "left")
     else:
         nodes = nodes.withColumn("component", F.col("node"))
-    named = written(nodes.select("set_id", F.coalesce("component", "node").alias("component")), "named")
-    dropped(sets)
-    return sketched.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # all other sets have one row, which is its own component
+    named = written(nodes.where("_n > 1 OR component <> node").select("set_id", F.coalesce("component", "node").alias("component"), "_n"), "named")
+    found = dealt_join(sketched, named.drop("_n"), ["set_id"], F.xxhash64("doc_id"), named.select("set_id", "_n"), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -139,20 +139,6 @@ def test_lines_that_repeat_themselves(spark):
     assert got == dict(enumerate(brute_lines(texts)))
 
 
-def test_parity_bits_rule_out_no_similar_pair(spark):
-    rnd = random.Random(2)
-    rows = []
-    for k in range(400):
-        base = [rnd.getrandbits(62) for _ in range(rnd.randint(1, 300))]
-        cut = rnd.randint(0, len(base) // 4)
-        rows.append((k, base, base[cut:] + [rnd.getrandbits(62) for _ in range(rnd.randint(0, cut))]))
-    d = spark.createDataFrame(rows, "k long, x array<long>, y array<long>")
-    sets = d.selectExpr("2 * k AS doc_id", "x AS hashes").union(d.selectExpr("2 * k + 1", "y")).selectExpr("*", "size(hashes) AS size").withColumn("bits", linededup.parity(F.col("hashes")))
-    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(400)] + [(2 * k, 2 * k + 2) for k in range(399)], "a long, b long")
-    got = {(r.a, r.b) for r in minhash.confirmed(pairs, sets, 80, bits=True).collect()}
-    assert got == {(2 * k, 2 * k + 1) for k, x, y in rows if similar(set(x), set(y))}
-
-
 def test_line_dedup_uses_no_python(spark):
     plan = linededup.deduplicated(documents(spark, line_texts(3)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
