@@ -32,6 +32,8 @@ from resistrum.llm.components import components
 BANDS, ROWS = 32, 6
 #: Texts at a time within a task, and words whose hashes a task remembers.
 SLICE, REMEMBERED = 200, 300_000
+#: Buckets of at most so many members are compared in full; in each round GROWTH times as many.
+SMALL, GROWTH = 16, 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -135,11 +137,15 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[s
     return both.where((100 + percent) * shared >= percent * (F.col("n") + F.col("hub_n"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (written) with the sets _x of hub and _y of node."""
+def _with_sets(pairs: DataFrame, sets: DataFrame, other: str | None = None) -> DataFrame:
+    """pairs (written) with the sets _x of hub and _y of node, and _z of other, of which each hub has one."""
     members = pairs.join(sets.select("node", F.col("set").alias("_y")), "node")
     counts = pairs.groupBy("hub").agg(F.count("*").alias("_n"))
-    return dealt_join(members, sets.select(F.col("node").alias("hub"), F.col("set").alias("_x")), ["hub"], F.xxhash64("node"), counts)
+    of_hubs = sets.select(F.col("node").alias("hub"), F.col("set").alias("_x"))
+    if other:
+        third = pairs.select("hub", other).distinct().join(sets.select(F.col("node").alias(other), F.col("set").alias("_z")), other)
+        of_hubs = of_hubs.join(third.select("hub", "_z"), "hub")
+    return dealt_join(members, of_hubs, ["hub"], F.xxhash64("node"), counts)
 
 
 def in_shared_buckets(placed: DataFrame) -> DataFrame:
@@ -155,59 +161,69 @@ def in_shared_buckets(placed: DataFrame) -> DataFrame:
     return active
 
 
-def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """groups (written) with the components so far: of hub as hub_label, of node as label; written."""
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (of nodes) with the component so far as label."""
     if labels is None:
-        return groups.withColumn("hub_label", F.col("hub")).withColumn("label", F.col("node"))
-    own = groups.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_hubs = groups.select("hub").distinct().join(labels.toDF("hub", "hub_label"), "hub", "left").select("hub", F.coalesce("hub_label", "hub").alias("hub_label"))
-    return written(dealt_join(own, of_hubs, ["hub"], F.xxhash64("node"), groups.groupBy("hub").agg(F.count("*").alias("_n"))), "labelled")
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _rest(percent: int, as_set: Callable[[str], Column]) -> Column:
-    """Of a node's set _y, those least members that its hub's set _x lacks of which it shares one with each similar node in another component.
+    """Of a node's set _y, those members that its hub's set _x lacks of which it shares one with each similar node in another component.
 
     A node similar to this one has at least percent % of its size, and as many as the hub; so they share at least `need`
-    members, of which the hub can have no more than it shares with this node.
+    members, of which the hub can have no more than it shares with this node. Members that another node of the group
+    (_z) has too come last, as they tell less; any order common to a group loses nothing.
     """
     need = F.ceil(F.lit(percent) * (F.col("n") + F.greatest(F.col("hub_n"), F.ceil(F.col("n") * percent / 100))) / (100 + percent))
-    lacks = F.array_sort(F.array_except(as_set("_y"), as_set("_x")))
-    return F.transform(F.array(lacks), lambda r: F.slice(r, F.lit(1), F.size(r) + 1 - F.greatest(F.lit(1), need - F.col("n") + F.size(r)).cast("int")))[0]
+    long = lambda r: F.size(r) + 1 - F.greatest(F.lit(1), need - F.col("n") + F.size(r)).cast("int")
+    ordered = lambda r, z: F.concat(F.array_sort(F.array_except(r, z)), F.array_sort(F.array_intersect(r, z)))
+    lacks = F.array(F.struct(F.array_except(as_set("_y"), as_set("_x")).alias("r"), as_set("_z").alias("z")))
+    return F.transform(lacks, lambda p: F.slice(ordered(p["r"], p["z"]), F.lit(1), long(p["r"])))[0]
 
 
 def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame | None:
     """The components (id, component) of nodes that similar ones join, if they share a bucket; None without links.
 
     active has a row (key, node, n) for each bucket of a node, n the size of its set. A bucket's hub is its smallest
-    set. All members are compared with it, so that pairs grow with members. Two members of which one isn't similar to
-    the hub can be similar only if they share a member of their sets that the hub lacks, as the hub is not larger than
-    either. These, by hub, are the next round's buckets, if more than one component meets there. No pair is lost, and
+    set. All members are compared with it, so that pairs grow with members. A bucket of few members (SMALL, more in
+    later rounds) that then holds several components has those compared with each other. In a larger one, two
+    members of which one isn't similar to the hub can be similar only if they share a member of their sets that the
+    hub lacks, as the hub is not larger than either. These, by hub, are the next round's buckets. No pair is lost, and
     each round's buckets lack the hub of the one before.
     """
-    links, labels = None, None
-    while not active.isEmpty():
+    links, few = None, SMALL
+
+    def more(found: DataFrame) -> DataFrame | None:
+        found = written(found, "links")
+        return links if found.isEmpty() else found if links is None else links.union(found)
+
+    active = written(active, "members")
+    while True:
         hubs = written(active.groupBy("key").agg(F.min(F.struct("n", "node")).alias("h"), F.count("*").alias("_n")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "_n"), "hubs")
-        met = dealt_join(active, hubs.drop("_n"), ["key"], F.xxhash64("node"), hubs.select("key", "_n")).where("node <> hub")
-        groups = written(met.groupBy("hub", "hub_n", "node", "n").agg(F.count("*").alias("keys")), "groups")
-        # the hub that shares most buckets with a node first, as its links mostly settle the others
-        best = written(groups.groupBy("node").agg(F.max(F.struct("keys", "hub", "hub_n", "n")).alias("b")).select("node", "b.hub", "b.hub_n", "b.n"), "best")
-        for some in (best, None):
-            if some is None:
-                some = _labelled(groups, labels).where("label <> hub_label").join(best, ["hub", "node"], "left_anti")
-            found = written(similar(some, sets, percent, as_set), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.union(found)
-                labels = written(components(links), "labels")
-        labelled = _labelled(groups, labels)
-        open_ = labelled.groupBy("hub").agg(F.count("*").alias("_n"), F.max(F.col("label") != F.col("hub_label")).alias("_open")).where("_open AND _n > 1")
-        members = written(dealt_join(labelled, open_.select("hub"), ["hub"], F.xxhash64("node"), open_.select("hub", "_n")).select("hub", "hub_n", "node", "n", "label"), "open")
-        rest = _with_sets(members, sets).select("hub", "node", "n", "label", F.explode(_rest(percent, as_set)).alias("_member"))
+        met = written(dealt_join(active, hubs, ["key"], F.xxhash64("node"), hubs.select("key", "_n")), "met")
+        links = more(similar(met.where("node <> hub").select("hub", "hub_n", "node", "n").distinct(), sets, percent, as_set))
+        labels = None if links is None else written(components(links), "labels")
+        labelled = written(_labelled(met, labels), "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
+        some = labelled.where(F.col("_n") <= few).join(mixed, "key").where("node <> hub").select("key", "node", "n", "label")
+        others = some.toDF("key", "hub", "hub_n", "hub_label")
+        pairs = some.join(others, "key").where("node > hub AND label <> hub_label").select("hub", "hub_n", "node", "n").distinct()
+        links = more(similar(pairs, sets, percent, as_set))
+        many = labelled.where(F.col("_n") > few).join(mixed, "key").where("node <> hub").select("hub", "hub_n", "node", "n", "label").distinct()
+        other = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("other")
+        many = written(many, "open")
+        if many.isEmpty():
+            return None if links is None else written(components(links), "labels")
+        refs = many.groupBy("hub").agg(other, F.count("*").alias("_n"))
+        members = written(dealt_join(many, refs.select("hub", "other"), ["hub"], F.xxhash64("node"), refs.select("hub", "_n")), "open")
+        rest = _with_sets(members, sets, "other").select("hub", "node", "n", "label", F.explode(_rest(percent, as_set)).alias("_member"))
         placed = written(rest.select(F.xxhash64("hub", "_member").alias("key"), "node", "n", "label"), "placed")
         buckets = written(placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high").select("key", "_n"), "shared")
-        active = written(dealt_join(placed, buckets.select("key"), ["key"], F.xxhash64("node"), buckets).select("key", "node", "n").distinct(), "members")
-        for done in (hubs, best, groups, members, placed, buckets):
+        before, active = active, written(dealt_join(placed, buckets.select("key"), ["key"], F.xxhash64("node"), buckets).select("key", "node", "n").distinct(), "members")
+        for done in (before, hubs, met, labelled, many, members, placed, buckets):
             dropped(done)
-    return labels
+        few *= GROWTH
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
