@@ -203,7 +203,7 @@ def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[s
         hubs = written(active.groupBy("key").agg(F.min(F.struct("n", "node")).alias("h"), F.count("*").alias("_n")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "_n"), "hubs")
         met = written(dealt_join(active, hubs, ["key"], F.xxhash64("node"), hubs.select("key", "_n")), "met")
         links = more(similar(met.where("node <> hub").select("hub", "hub_n", "node", "n").distinct(), sets, percent, as_set))
-        labels = None if links is None else written(components(links), "labels")
+        settled, labels = links, None if links is None else written(components(links), "labels")
         labelled = written(_labelled(met, labels), "labelled")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
         some = labelled.where(F.col("_n") <= few).join(mixed, "key").where("node <> hub").select("key", "node", "n", "label")
@@ -214,7 +214,7 @@ def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[s
         other = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("other")
         many = written(many, "open")
         if many.isEmpty():
-            return None if links is None else written(components(links), "labels")
+            return labels if links is settled else written(components(links), "labels")
         refs = many.groupBy("hub").agg(other, F.count("*").alias("_n"))
         members = written(dealt_join(many, refs.select("hub", "other"), ["hub"], F.xxhash64("node"), refs.select("hub", "_n")), "open")
         rest = _with_sets(members, sets, "other").select("hub", "node", "n", "label", F.explode(_rest(percent, as_set)).alias("_member"))
