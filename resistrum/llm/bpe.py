@@ -27,8 +27,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: What a task remembers at most: pieces and prefixes with their ids, pairs of tokens; the longest prefix.
-REMEMBERED_PIECES, REMEMBERED_PREFIXES, REMEMBERED_PAIRS, LONGEST_REMEMBERED = 300_000, 600_000, 400_000, 64
+#: What a task remembers at most: pieces with their ids, steps of a byte, pairs of tokens; the longest piece.
+REMEMBERED_PIECES, REMEMBERED_STEPS, REMEMBERED_PAIRS, LONGEST_REMEMBERED = 500_000, 500_000, 400_000, 64
 #: Texts at a time within a task.
 SLICE = 64
 _NEVER = sys.maxsize
@@ -48,15 +48,12 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.name_of = {rank: str(rank) for rank in self.bytes_of}
         self.longest = max(map(len, ranks), default=0)
-        #: By a token's last two bytes: the length of the longest that ends so.
-        self.reach: dict[bytes, int] = {}
-        for token in ranks:
-            self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 0))
+        self._begins = {token[:k] for token in ranks for k in range(len(token) + 1)} | {b""}
+        self._steps: dict[bytes, tuple[bytes, tuple[tuple[int, int], ...]]] = {}
         self._lives: dict[tuple[bytes, bool], list[tuple[bytes, float]]] = {}
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._stable: dict[int, bool] = {}
         self._known: dict[str, Sequence[int]] = {}
-        self._prefixes: dict[bytes, tuple[int, ...]] = {}
         self._made: dict[bytes, bool] = {}
 
     def made(self, token: bytes) -> bool:
@@ -111,16 +108,36 @@ class Codec:
         self._stable[a << 32 | b] = out
         return out
 
+    def _step(self, grown: bytes) -> tuple[bytes, tuple[tuple[int, int], ...]]:
+        """Of bytes read: their longest end that begins a token, and the tokens (id, length) they end with, the longest first."""
+        state = grown
+        while state not in self._begins:
+            state = state[1:]
+        ends = [state[i:] for i in range(len(state))]
+        if len(self._steps) >= REMEMBERED_STEPS:
+            self._steps.clear()
+        self._steps[grown] = step = state, tuple((self.ranks[x], len(x)) for x in ends if x in self.ranks and self.made(x))
+        return step
+
     def extend(self, data: bytes, last: list[int]) -> None:
         """last[i] is the token that ends the encoding of data[:i + 1]; adds what is missing up to all of data."""
+        steps, stable = self._steps, self._stable
+        state = data[max(0, len(last) - self.longest) : len(last)]
+        while state not in self._begins:
+            state = state[1:]
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                rank = self.ranks.get(token := data[start:end])
-                if rank is not None and self.made(token) and (not start or self.stands(last[start - 1], rank)):
-                    last.append(rank)
+            grown = state + data[end - 1 : end]
+            state, ends = steps.get(grown) or self._step(grown)
+            for rank, length in ends:
+                if length == end:
+                    break
+                before = last[end - length - 1]
+                stands = stable.get(before << 32 | rank)
+                if stands or stands is None and self.stands(before, rank):
                     break
             else:
                 raise ValueError("the ranks lack a byte")
+            last.append(rank)
 
     def walk(self, data: bytes, last: list[int]) -> list[int]:
         """The ids of data, read back from the tokens of its prefixes."""
@@ -134,48 +151,18 @@ class Codec:
         return out
 
     def piece(self, piece: str) -> Sequence[int]:
-        """The ids of a piece. Its prefixes' tokens are looked up among those of all pieces before, or else added there."""
+        """The ids of a piece, remembered unless it is long."""
         data = piece.encode("utf-8")
-        if data in self.ranks:
-            known: Sequence[int] = (self.ranks[data],)
-        elif len(data) > LONGEST_REMEMBERED:
-            last: list[int] = []
+        last: list[int] = []
+        if data not in self.ranks:
             self.extend(data, last)
-            return self.walk(data, last)
-        else:
-            known = self._through_prefixes(data)
-        if len(self._known) >= REMEMBERED_PIECES:
-            self._known.clear()
-        self._known[piece] = known
+        known = tuple(self.walk(data, last))
+        if len(data) <= LONGEST_REMEMBERED:
+            if len(self._known) >= REMEMBERED_PIECES:
+                self._known.clear()
+            self._known[piece] = known
         return known
 
-    def _through_prefixes(self, data: bytes) -> tuple[int, ...]:
-        """The ids of data, from the ids of its longest prefix that is known from this or another piece."""
-        ids_of, ranks, made, stable, reach = self._prefixes, self.ranks, self._made, self._stable, self.reach
-        if len(ids_of) >= REMEMBERED_PREFIXES:
-            ids_of.clear()
-        end = len(data)
-        while end and (ids := ids_of.get(data[:end])) is None:
-            end -= 1
-        # with a prefix, all shorter ones are known
-        for k in range(end + 1, len(data) + 1):
-            for start in range(max(0, k - reach.get(data[k - 2 : k], 1)) if k > 1 else 0, k):
-                rank = ranks.get(token := data[start:k])
-                if rank is None or not (made.get(token) or self.made(token)):
-                    continue
-                if not start:
-                    ids = (rank,)
-                    break
-                head = ids_of[data[:start]]
-                stands = stable.get(head[-1] << 32 | rank)
-                if stands or stands is None and self.stands(head[-1], rank):
-                    ids = (*head, rank)
-                    break
-            else:
-                raise ValueError("the ranks lack a byte")
-            ids_of[data[:k]] = ids
-        return ids
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known, piece = self._known, self.piece
