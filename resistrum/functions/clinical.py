@@ -58,7 +58,7 @@ def interpreted(value: Column, test: Column, s: Column, r: Column) -> Column:
 
 def infection_origin(location_type: Column, admission: Column, specimen: Column) -> Column:
     """Outpatients: community. Inpatients: hospital if the specimen came more than two days after admission."""
-    days = F.datediff(specimen, admission)
+    days, location_type = F.datediff(specimen, admission), F.lower(F.trim(location_type))
     known = (location_type == "in") & admission.isNotNull() & specimen.isNotNull()
     return F.when(location_type == "out", "Community").when(known, F.when(days > 2, "Hospital").otherwise("Community")).otherwise("Unknown")
 
@@ -79,10 +79,11 @@ def mmwr_week(day: Column) -> tuple[Column, Column]:
 
 #: What is taken out of free text, in this order.
 REDACTIONS = (
-    (r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b", "[DATE]"),
-    (r"\+?\d[\d -]{8,}\d", "[PHONE]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    (r"\b[A-Z]{1,3}\d{5,}\b", "[ID]"),
+    (r"\b\d{4}-\d{2}-\d{2}\b", "[DATE]"),
+    (r"\b(?:\+?\d{1,3}[-\s]?)?\(?\d{2,4}\)?[-\s]?\d{3,4}[-\s]?\d{3,4}\b", "[PHONE]"),
+    (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[EMAIL]"),
+    (r"\b[A-Z]{2,}\d{4,}\b", "[ID]"),
+    (r"(?i)(?:patient(?:[_ ]?(?:id|name))?|first[_ ]?name|last[_ ]?name|mrn|uhid|specimen[_ ]?number|dob)\s*[:=]\s*[^,;\n}]+", "[IDENTIFIER]"),
 )
 
 
@@ -108,11 +109,18 @@ def spreadsheet_safe(text: Column) -> Column:
     return F.when(formula, F.concat(F.lit("'"), text)).otherwise(text)
 
 
+#: Phenotypes by subclass, then by class.
+SUBCLASS_PHENOTYPES = (
+    (r"carbapenems?", "carbapenem-R"), (r"cephalosporin\s*iii", "3GC-R"), (r"cephalosporin\s*iv", "4GC-R"), (r"cephamycin", "cephamycin-R"),
+    (r"penicillin\s*\(stable\)", "oxacillin-R"), (r"(lipo)?glycopeptide", "glycopeptide-R"), (r"fluoroquinolone", "fluoroquinolone-R"),
+)
+CLASS_PHENOTYPES = (
+    (r"aminoglycosides", "aminoglycoside-R"), (r"lipopeptides", "polymyxin-R"), (r"macrolides", "macrolide-R"), (r"tetracyclines", "tetracycline-R"),
+    (r"folate pathway inhibitors", "folate-R"),
+)
+
+
 def phenotype(subclass: Column, family: Column, agent: Column) -> Column:
-    """The resistance mechanism an agent stands for, by subclass and then class; else the agent itself."""
-    s, f = F.lower(subclass), F.lower(family)
-    return (
-        F.when(s.rlike("carbapenem"), "carbapenem-R").when(s.rlike(r"cephalosporin iii\b"), "3GC-R").when(s.rlike(r"cephalosporin iv\b"), "4GC-R").when(s.rlike("cephamycin"), "cephamycin-R")
-        .when(s.rlike(r"penicillin \(stable\)"), "oxacillin-R").when(s.rlike("glycopeptide"), "glycopeptide-R").when(s.rlike("fluoroquinolone"), "fluoroquinolone-R").when(f.rlike("aminoglycoside"), "aminoglycoside-R")
-        .when(f.rlike("lipopeptide"), "polymyxin-R").when(f.rlike("macrolide"), "macrolide-R").when(f.rlike("tetracycline"), "tetracycline-R").when(f.rlike("folate pathway"), "folate-R").otherwise(agent)
-    )
+    """The resistance mechanism an agent stands for, by its whole subclass and then its whole class; else the agent itself."""
+    found = [F.when(F.lower(F.trim(c)).rlike(f"^(?:{pattern})$"), label) for c, known in ((subclass, SUBCLASS_PHENOTYPES), (family, CLASS_PHENOTYPES)) for pattern, label in known]
+    return F.coalesce(*found, agent)

@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _key(c: str) -> Column:
+    """A name as it is compared; blanks are missing."""
+    return F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+
+
 def first_isolates(isolates: DataFrame) -> DataFrame:
-    """The first isolate of each site, patient and organism by date, then id; those without patient or organism all stay."""
-    order = Window.partitionBy("site", "patient", "organism").orderBy(F.col("specimen_date").asc_nulls_last(), "isolate_id")
-    keyed = isolates.where("patient IS NOT NULL AND organism IS NOT NULL")
-    rest = isolates.where("patient IS NULL OR organism IS NULL")
-    return keyed.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").union(rest)
+    """The first isolate of each site, patient and organism by date, then id; those without patient or organism all stay.
+
+    Names are compared without case and outer white space. Isolates that lack a key are parts of their own.
+    """
+    alone = F.when(_key("patient").isNull() | _key("organism").isNull(), F.col("isolate_id"))
+    order = Window.partitionBy("_site", "_patient", "_organism", "_alone").orderBy(F.col("specimen_date").asc_nulls_last(), "isolate_id")
+    keyed = isolates.withColumns({"_site": _key("site"), "_patient": _key("patient"), "_organism": _key("organism"), "_alone": alone})
+    return keyed.withColumn("_n", F.row_number().over(order)).where("_n = 1 OR _alone IS NOT NULL").select(*isolates.columns)
 
 
 def episodes(events: DataFrame, days: int = 30) -> DataFrame:

@@ -35,9 +35,10 @@ def suppressed(counts: DataFrame, column: str, floor: int) -> DataFrame:
 
 
 def scope(level: str, value: str | None) -> Column:
-    """Sites of a scope: global, country, admin:N (by path) or site. What is not known matches nothing."""
+    """Sites of a scope: global, country, admin:N (by path) or site. A country without a value is all; what is not known matches nothing."""
+    level = (level or "country").strip().lower()
     level = {"national": "country", "state": "admin:1", "district": "admin:2"}.get(level, level)
-    if level == "global":
+    if level == "global" or (level == "country" and not value):
         return F.lit(True)
     if not value:
         return F.lit(False)

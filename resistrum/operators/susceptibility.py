@@ -70,15 +70,15 @@ class Indicator:
 #: The priority indicators.
 _ECO, _ENTERO = ("escherichia coli", "e. coli"), ("escherichia coli", "e. coli", "klebsiella", "enterobacter", "serratia", "citrobacter", "proteus", "morganella")
 INDICATORS = (
-    Indicator("MRSA among S. aureus", ("staphylococcus aureus", "s. aureus"), ("FOX", "OXA")),
+    Indicator("MRSA among Staphylococcus aureus", ("staphylococcus aureus", "s. aureus"), ("FOX", "OXA")),
     Indicator("Vancomycin-nonsusceptible Enterococcus", ("enterococcus",), ("VAN",)),
-    Indicator("3GC-nonsusceptible E. coli", _ECO, ("CTX", "CRO", "CAZ")),
-    Indicator("3GC-nonsusceptible K. pneumoniae", ("klebsiella pneumoniae",), ("CTX", "CRO", "CAZ")),
+    Indicator("3GC-nonsusceptible Escherichia coli", _ECO, ("CTX", "CRO", "CAZ")),
+    Indicator("3GC-nonsusceptible Klebsiella pneumoniae", ("klebsiella pneumoniae",), ("CTX", "CRO", "CAZ")),
     Indicator("Carbapenem-nonsusceptible Enterobacterales", _ENTERO, ("MEM", "IPM", "ETP")),
-    Indicator("Carbapenem-nonsusceptible P. aeruginosa", ("pseudomonas aeruginosa",), ("MEM", "IPM")),
-    Indicator("Carbapenem-nonsusceptible Acinetobacter", ("acinetobacter",), ("MEM", "IPM")),
-    Indicator("Fluoroquinolone-resistant E. coli", _ECO, ("CIP", "LVX"), ("R",)),
-    Indicator("Penicillin-nonsusceptible S. pneumoniae", ("streptococcus pneumoniae",), ("PEN",)),
+    Indicator("Carbapenem-nonsusceptible Pseudomonas aeruginosa", ("pseudomonas aeruginosa",), ("MEM", "IPM")),
+    Indicator("Carbapenem-nonsusceptible Acinetobacter spp.", ("acinetobacter",), ("MEM", "IPM")),
+    Indicator("Fluoroquinolone-resistant Escherichia coli", _ECO, ("CIP", "LVX"), ("R",)),
+    Indicator("Penicillin-nonsusceptible Streptococcus pneumoniae", ("streptococcus pneumoniae",), ("PEN",)),
 )
 
 

@@ -358,7 +358,9 @@ def bayesian_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.bayesian_scan(found.select("signal", "location", "days", "observed", "expected"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d{4}-\\d{2}-\\d{2}\\b|\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\b', '[DATE]', 'g'), '\\+?\\d[\\d -]{8,}\\d', '[PHONE]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\\b[A-Z]{1,3}\\d{5,}\\b', '[ID]', 'g') AS text FROM documents")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{4}-\d{2}-\d{2}\b', '[DATE]', 'g'),
+'\b(?:\+?\d{1,3}[-\s]?)?\(?\d{2,4}\)?[-\s]?\d{3,4}[-\s]?\d{3,4}\b', '[PHONE]', 'g'), '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[EMAIL]', 'g'), '\b[A-Z]{2,}\d{4,}\b', '[ID]', 'g'),
+'(?i)(?:patient(?:[_ ]?(?:id|name))?|first[_ ]?name|last[_ ]?name|mrn|uhid|specimen[_ ]?number|dob)\s*[:=]\s*[^,;\n}]+', '[IDENTIFIER]', 'g') AS text FROM documents""")
 def text_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.table(spark, sf_dir, "documents").select("doc_id", clinical.redacted(F.col("text")).alias("text"))
 

@@ -37,7 +37,7 @@ def test_first_isolates_keep_rows_without_patient(spark):
 def test_indicator_by_name(spark):
     rows = [(1, "Staphylococcus aureus", "FOX", "R"), (1, "Staphylococcus aureus", "VAN", "S"), (2, "Staphylococcus aureus", "FOX", "S"), (3, "Staphylococcus epidermidis", "FOX", "R"), (4, "Escherichia coli", "CTX", "I"), (5, "Staphylococcus aureus", "FOX", "R")]
     got = {r.label: (r.numerator, r.denominator) for r in susceptibility.indicators(spark.createDataFrame(rows, "isolate_id long, organism string, agent string, result string")).collect()}
-    assert got == {"MRSA among S. aureus": (2, 3), "3GC-nonsusceptible E. coli": (1, 1)}
+    assert got == {"MRSA among Staphylococcus aureus": (2, 3), "3GC-nonsusceptible Escherichia coli": (1, 1)}
 
 
 def test_wilson_and_likelihoods(spark):
@@ -144,3 +144,24 @@ def test_empty_tables(spark):
     assert detection.prospective_windows(e).count() == cohort.episodes(e).count() == 0
     ast = spark.createDataFrame([], "isolate_id long, organism string, agent string, result string")
     assert susceptibility.rates(ast, "agent").count() == susceptibility.indicators(ast).count() == 0
+
+
+def test_names_are_compared_without_case(spark):
+    rows = [(1, "L1", "P1", "E. coli", "2026-01-02"), (2, "l1 ", "p1", "e. COLI", "2026-01-01"), (3, "L1", " ", "E. coli", "2026-01-01"), (4, "L1", None, "E. coli", "2026-01-01")]
+    d = spark.createDataFrame(rows, "isolate_id long, site string, patient string, organism string, specimen_date string")
+    assert sorted(r.isolate_id for r in cohort.first_isolates(d).collect()) == [2, 3, 4]
+
+
+def test_origin_phenotypes_and_redaction(spark):
+    day = F.lit("2026-01-09").cast("date")
+    assert one(spark, clinical.infection_origin(F.lit(" IN"), F.lit("2026-01-01").cast("date"), day)) == "Hospital"
+    assert one(spark, clinical.infection_origin(F.lit("Out"), day, day)) == "Community"
+    assert one(spark, clinical.phenotype(F.lit("Carbapenems"), F.lit(None).cast("string"), F.lit("MEM"))) == "carbapenem-R"
+    assert one(spark, clinical.phenotype(F.lit("carbapenem mix"), F.lit("Tetracyclines"), F.lit("X"))) == "tetracycline-R"
+    assert one(spark, clinical.phenotype(F.lit(None).cast("string"), F.lit("tetracyclines old"), F.lit("X"))) == "X"
+    assert one(spark, clinical.redacted(F.lit("Patient name: Ann; AB12345, 040 123 4567"))) == "[IDENTIFIER]; [ID], [PHONE]"
+
+
+def test_country_without_value_is_all(spark):
+    d = spark.createDataFrame([("1", "W/1")], "site string, admin_path string")
+    assert [d.where(federated.scope(level, None)).count() for level in ("Country", "", "GLOBAL", "site", "admin:1")] == [1, 1, 1, 0, 0]
