@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,15 @@ def prospective_windows(events: DataFrame, max_days: int = 14, least: int = 3, r
     counts in all lengths that reach back to its day.
     """
     own = [replicate] if replicate else []
+    cells, expected, totals, longest = _margins(events, max_days, own)
+    lengths = F.explode(F.sequence(F.col("_age"), F.lit(longest))).alias("days")
+    observed = cells.where(F.col("_age") <= longest).select(*own, "signal", "location", "_n", lengths).groupBy(*own, "signal", "location", "days").agg(F.sum("_n").alias("observed")).where(F.col("observed") >= least)
+    both = observed.join(expected, [*own, "signal", "location", "days"]).join(totals, [*own, "signal"])
+    return both.withColumn("llr", llr_space_time(F.col("observed"), F.col("expected"), F.col("total")))
+
+
+def _margins(events: DataFrame, max_days: int, own: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Cases by signal, location, stratum (_s) and age in days; expected cases of each window; totals; the longest window."""
     first, last = events.agg(F.min("day"), F.max("day")).first()
     if first is None:
         first = last = pd.Timestamp("1970-01-01").date()
@@ -83,10 +94,52 @@ def prospective_windows(events: DataFrame, max_days: int = 14, least: int = 3, r
     at_location = cells.groupBy(*own, "signal", "location", "_s").agg(F.sum("_n").alias("_at"))
     share = window.join(by_stratum, [*own, "signal", "_s"])
     expected = at_location.join(share, [*own, "signal", "_s"]).groupBy(*own, "signal", "location", "days").agg(F.sum(F.col("_at") * F.col("_in_window") / F.col("_total")).alias("expected"))
-    observed = cells.where(F.col("_age") <= longest).select(*own, "signal", "location", "_n", lengths).groupBy(*own, "signal", "location", "days").agg(F.sum("_n").alias("observed")).where(F.col("observed") >= least)
     totals = by_stratum.groupBy(*own, "signal").agg(F.sum("_total").alias("total"))
-    both = observed.join(expected, [*own, "signal", "location", "days"]).join(totals, [*own, "signal"])
-    return both.withColumn("llr", llr_space_time(F.col("observed"), F.col("expected"), F.col("total")))
+    return cells, expected, totals, longest
+
+
+def null_maxima(events: DataFrame, replicates: int, max_days: int = 14, least: int = 3, seed: int = 1, chunk: int = 50) -> DataFrame:
+    """replicate and top, its highest ratio of all windows, with days shuffled within strata.
+
+    A shuffle keeps each location's and each day's cases of a stratum, so expected cases stay and only the counts of
+    cells are drawn: day by day from the multivariate hypergeometric distribution over what the locations have left.
+    The work hangs on cells and replicates (chunk of them to a task's row), not on cases.
+    """
+    cells, expected, totals, longest = _margins(events, max_days, [])
+    places = cells.groupBy("signal", "location", "_s").agg(F.sum("_n").alias("n")).groupBy("signal").agg(F.collect_list(F.struct("location", "_s", "n")).alias("places"))
+    days = cells.where(F.col("_age") <= longest).groupBy("signal", "_s", "_age").agg(F.sum("_n").alias("n")).groupBy("signal").agg(F.collect_list(F.struct("_s", "_age", "n")).alias("days"))
+    windows = expected.groupBy("signal").agg(F.collect_list(F.struct("location", "days", "expected")).alias("windows"))
+    begins = F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(chunk))).alias("begin")
+    work = places.join(days, "signal").join(windows, "signal").join(totals, "signal").select("*", begins).repartition("signal", "begin")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                names = sorted({p["location"] for p in row.places})
+                at = {name: k for k, name in enumerate(names)}
+                left = np.zeros((7, len(names)), dtype=np.int64)
+                for p in row.places:
+                    left[p["_s"], at[p["location"]]] = p["n"]
+                means = np.zeros((len(names), longest))
+                for w in row.windows:
+                    means[at[w["location"]], w["days"] - 1] = w["expected"]
+                order = sorted((d["_s"], d["_age"], d["n"]) for d in row.days)
+                tops = []
+                for replicate in range(row.begin, min(row.begin + chunk, replicates + 1)):
+                    rng = np.random.default_rng([seed, zlib.crc32(str(row.signal).encode()), replicate])
+                    rest, seen = left.copy(), np.zeros((len(names), longest), dtype=np.int64)
+                    for stratum, age, n in order:
+                        drawn = rng.multivariate_hypergeometric(rest[stratum], n)
+                        rest[stratum] -= drawn
+                        seen[:, age - 1] += drawn
+                    observed, total = seen.cumsum(axis=1).astype(float), float(row.total)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        outside = np.where(observed < total, (total - observed) * np.log((total - observed) / (total - means)), 0.0)
+                        llr = np.where((observed >= least) & (means > 0) & (observed > means) & (observed < total), observed * np.log(observed / means) + outside, 0.0)
+                    tops.append(llr.max(initial=0.0))
+                yield pd.DataFrame({"replicate": range(row.begin, row.begin + len(tops)), "top": tops})
+
+    return work.mapInPandas(run, "replicate int, top double").groupBy("replicate").agg(F.max("top").alias("top"))
 
 
 def permuted(events: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
@@ -109,7 +162,7 @@ def scan(events: DataFrame, replicates: int = 99, max_days: int = 14, least: int
     Windows of a place all end on the last day and so overlap; the one with the highest ratio stays.
     """
     found = prospective_windows(events, max_days, least)
-    maxima = prospective_windows(permuted(events, replicates), max_days, least, "replicate").groupBy("replicate").agg(F.max("llr").alias("top"))
+    maxima = null_maxima(events, replicates, max_days, least)
     best = found.groupBy("signal", "location").agg(F.max(F.struct("llr", "observed", (-F.col("days")).alias("minus"), "expected")).alias("b"))
     rows = best.select("signal", "location", (-F.col("b.minus")).alias("days"), "b.observed", "b.expected", "b.llr").where("llr > 0")
     # one number for each replicate: a list bounded by their number

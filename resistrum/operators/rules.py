@@ -15,17 +15,19 @@ def with_breakpoints(ast: DataFrame, breakpoints: DataFrame, key: list[str]) ->
 
     breakpoints (organism, agent, specimen, location_type, s, r): a null specimen or location_type fits all, and each
     one that is not null counts for specificity. Equally specific rows that differ leave the reading empty. The
-    join is on organism and agent; null-tolerant parts are filters behind it, so no cross product arises.
+    breakpoints of an organism and agent meet a row as one array, so that rows are neither copied nor grouped.
     """
-    b = breakpoints.select(F.col("organism").alias("_o"), F.col("agent").alias("_a"), F.col("specimen").alias("_s"), F.col("location_type").alias("_l"), "s", "r")
-    fits = (F.col("organism") == F.col("_o")) & (F.col("agent") == F.col("_a")) & (F.col("_s").isNull() | (F.col("_s") == F.col("specimen"))) & (F.col("_l").isNull() | (F.col("_l") == F.col("location_type")))
-    rank = F.when(F.col("_o").isNotNull(), F.col("_s").isNotNull().cast("int") * 2 + F.col("_l").isNotNull().cast("int"))
-    all_fits = ast.join(b, fits, "left").withColumn("_rank", rank)
+    fits = F.collect_list(F.struct("specimen", "location_type", "s", "r")).alias("_fits")
+    b = breakpoints.groupBy(F.col("organism").alias("_o"), F.col("agent").alias("_a")).agg(fits)
+    joined = ast.join(b, (F.col("organism") == F.col("_o")) & (F.col("agent") == F.col("_a")), "left")
+    fitting = lambda x: (x["specimen"].isNull() | (x["specimen"] == F.col("specimen"))) & (x["location_type"].isNull() | (x["location_type"] == F.col("location_type")))
+    rank = lambda x: x["specimen"].isNotNull().cast("int") * 2 + x["location_type"].isNotNull().cast("int")
+    ranked = F.transform(F.filter("_fits", fitting), lambda x: F.struct(rank(x).alias("rank"), x["s"].alias("s"), x["r"].alias("r")))
     kept = [c for c in ast.columns if c not in key]
-    by_rank = all_fits.groupBy(*key, "_rank").agg(*[F.first(c).alias(c) for c in kept], F.min("s").alias("s"), F.min("r").alias("r"), (F.min(F.struct("s", "r")) != F.max(F.struct("s", "r"))).alias("_differ"))
-    top = by_rank.groupBy(*key).agg(F.max(F.struct("_rank", *kept, "s", "r", "_differ")).alias("_top"))
-    clear = F.when(~F.col("_top._differ"), F.col("_top.s")), F.when(~F.col("_top._differ"), F.col("_top.r"))
-    out = top.select(*key, *[F.col(f"_top.{c}").alias(c) for c in kept], clear[0].alias("s"), clear[1].alias("r"))
+    d = joined.select(*key, *kept, ranked.alias("_ranked"))
+    top = F.array_distinct(F.filter("_ranked", lambda x: x["rank"] == F.array_max(F.transform("_ranked", lambda y: y["rank"]))))
+    d = d.select(*key, *kept, F.when(F.size(top) == 1, F.get(top, F.lit(0))).alias("_top"))
+    out = d.select(*key, *kept, F.col("_top.s").alias("s"), F.col("_top.r").alias("r"))
     return out.withColumn("reading", interpreted(F.col("measurement"), F.lit("MIC"), F.col("s"), F.col("r")))
 
 

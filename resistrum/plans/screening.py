@@ -10,10 +10,10 @@ from resistrum.plans.analysis import query
 from resistrum.sources import adapters
 
 
-@query("""SELECT isolate_id, organism, specimen_date FROM v_isolate WHERE lower(trim(location)) IN ('france', 'china') AND lower(organism) LIKE '%brand#1%'
+@query("""SELECT isolate_id, organism, specimen_date FROM v_isolate WHERE lower(trim(location)) IN ('nation_3', 'nation_7') AND lower(organism) LIKE '%brand#1%'
 AND specimen_date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'""")
 def record_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = screening.record_filter(adapters.isolates(spark, sf_dir), {"location": [" France", "CHINA"], "specimen": []}, {"organism": ["brand#1"]}, ("specimen_date", "1994-01-01", "1996-12-31"))
+    found = screening.record_filter(adapters.isolates(spark, sf_dir), {"location": [" Nation_3", "NATION_7"], "specimen": []}, {"organism": ["brand#1"]}, ("specimen_date", "1994-01-01", "1996-12-31"))
     return found.select("isolate_id", "organism", "specimen_date")
 
 

@@ -165,3 +165,17 @@ def test_origin_phenotypes_and_redaction(spark):
 def test_country_without_value_is_all(spark):
     d = spark.createDataFrame([("1", "W/1")], "site string, admin_path string")
     assert [d.where(federated.scope(level, None)).count() for level in ("Country", "", "GLOBAL", "site", "admin:1")] == [1, 1, 1, 0, 0]
+
+
+def test_null_maxima_are_those_of_shuffled_days(spark):
+    """Drawn counts and shuffled cases give the same distribution of maxima."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, f"s{i % 2}", f"L{int(rnd.integers(4))}", dt.date(2025, 1, 1) + dt.timedelta(days=int(rnd.integers(28)))) for i in range(400)]
+    d = spark.createDataFrame(rows, "event_id long, signal string, location string, day date")
+    drawn = sorted(r.top for r in detection.null_maxima(d, 200).collect())
+    shuffled = detection.prospective_windows(detection.permuted(d, 200), 14, 3, "replicate").groupBy("replicate").agg(F.max("llr").alias("top"))
+    brute = sorted(r.top for r in shuffled.collect())
+    assert len(drawn) == 200
+    assert max(abs(np.searchsorted(drawn, x) / 200 - (k + 1) / len(brute)) for k, x in enumerate(brute)) < 0.17
+    again = sorted(r.top for r in detection.null_maxima(d, 200, chunk=7).collect())
+    assert again == drawn
