@@ -26,7 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,7 +40,7 @@ SLICE = 64
 #: Weights before any page was seen.
 WORDS = {"plain": 1.0, "heading": 1.0, "list": 0.3, "link": 0.1}
 TAG, BOILERPLATE = -3.0, -6.0
-_RAW = "script style title textarea template noscript iframe object svg canvas audio video select option button math".split()
+_RAW = "script style title textarea template noscript iframe svg canvas select option button".split()
 _OUT = {"nav", "aside", "footer", "form", "dialog", "menu", "fieldset"}
 _BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,10 +71,10 @@ def _wrapper(name: str, attrs: str) -> bool:
     return name in {"form", "fieldset"} or (name not in _OUT and name != "header" and _LONG.isdisjoint(_marks(attrs)))
 
 
-def _out(name: str, attrs: str, stack: list[tuple[str, bool]]) -> bool:
+def _out(name: str, attrs: str, within: bool) -> bool:
+    """Whether an element is not content by its name or marks; within: it stands in an article or main."""
     if name in _OUT:
         return True
-    within = any(n in {"article", "main"} for n, _ in stack)
     if name == "header":
         return not within
     if not attrs or name in {"html", "body", "article", "main"}:
@@ -97,77 +97,77 @@ def items(page: str | None) -> list[tuple[str, str, str, bool, bool]]:
 def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, bool, bool]], list[int]]:
     """The items, and where the elements begin that are out but wrap the page; those that begin at one of kept are not out."""
     out: list[tuple[str, str, str, bool, bool]] = []
-    # by begin of an element that may be a wrapper: its words, and whether it may be one for its words alone or by what it holds
-    held: dict[int, list] = {}
-    around: list[tuple[int, int]] = []
-    always, n_words = 0, 0
     stack: list[tuple[str, bool]] = []
-    barred, at, articles = 0, 0, 0
+    # where elements of a name, and blocks, are open in the stack; so no step walks it
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+    # open elements that are out: place, begin (-1 if it can't be a wrapper), words and main headings before it, whether a form
+    around: list[tuple[int, int, int, int, bool]] = []
+    wrappers: list[tuple[int, int]] = []
+    always, n_words, n_heads, barred, at = 0, 0, 0, 0, 0
+
+    def last(*names: str) -> int:
+        return max(places[n][-1] if places[n] else -1 for n in names)
 
     def shut(k: int) -> None:
-        nonlocal barred, articles, always
+        nonlocal barred, always
         while around and around[-1][0] >= k:
-            always -= around.pop()[1] < 0
-        for name, bars in stack[k:]:
+            _, begin, words, heads, form = around.pop()
+            always -= begin < 0
+            if begin >= 0 and (form or n_heads > heads):
+                wrappers.append((begin, n_words - words))
+        while len(stack) > k:
+            name, bars = stack.pop()
+            places[name].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
             barred -= bars
-            articles -= name == "article"
-        del stack[k:]
 
     def text(raw: str) -> None:
         nonlocal n_words
         if not always:
-            n = len(raw.split())
-            n_words += n
-            for _, begin in around:
-                held[begin][0] += n
-        names = {n for n, _ in stack}
-        where = "link" if "a" in names else "heading" if names & {"h1", "h2", "h3", "h4", "h5", "h6"} else "list" if "li" in names else "plain"
-        out.append(("text", where, html.unescape(raw), articles > 0, not barred))
+            n_words += len(raw.split())
+        where = "link" if places["a"] else "heading" if last("h1", "h2", "h3", "h4", "h5", "h6") >= 0 else "list" if places["li"] else "plain"
+        out.append(("text", where, html.unescape(raw), bool(places["article"]), not barred))
 
     for m in _ITEM.finditer(page):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
         if m["raw"]:
-            out.append(("tag", "raw", "", articles > 0, not barred))
+            out.append(("tag", "raw", "", bool(places["article"]), not barred))
         if not m["name"]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            out.append(("tag", name, "", articles > 0, not barred))
-            if k is not None:
-                shut(k)
+            out.append(("tag", name, "", bool(places["article"]), not barred))
+            if name in places and places[name]:
+                shut(places[name][-1])
             continue
-        if name in _BLOCKS:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _BLOCKS), None)
-            if k is not None and stack[k][0] == "p":
-                shut(k)
+        if name in _BLOCKS and blocks and stack[blocks[-1]][0] == "p":
+            shut(blocks[-1])
         if name in _SHUTS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name or {name, stack[k][0]} <= {"dd", "dt"} or {name, stack[k][0]} <= {"td", "th"}:
-                    shut(k)
-                    break
-                if stack[k][0] in _SHUTS[name]:
-                    break
-        bars = name not in _VOID and m.start() not in kept and _out(name, m["attrs"] or "", stack)
+            same = last(*({"dd", "dt"} if name in {"dd", "dt"} else {"td", "th"} if name in {"td", "th"} else {name}))
+            if same > last(*_SHUTS[name]):
+                shut(same)
+        bars = name not in _VOID and m.start() not in kept and _out(name, m["attrs"] or "", last("article", "main") >= 0)
         if name in {"h1", "main", "article"} and not always:
-            for _, begin in around:
-                held[begin][1] = True
+            n_heads += 1
         if bars:
             may = _wrapper(name, m["attrs"] or "")
-            around.append((len(stack), m.start() if may else -1))
+            around.append((len(stack), m.start() if may else -1, n_words, n_heads, name in {"form", "fieldset"}))
             always += not may
-            if may:
-                held[m.start()] = [0, name in {"form", "fieldset"}]
-        out.append(("tag", "boilerplate" if bars and not barred else name, "", articles > 0, not barred))
+        out.append(("tag", "boilerplate" if bars and not barred else name, "", bool(places["article"]), not barred))
         if name not in _VOID:
+            places[name].append(len(stack))
+            if name in _BLOCKS:
+                blocks.append(len(stack))
             stack.append((name, bars))
             barred += bars
-            articles += name == "article"
     if at < len(page):
         text(page[at:])
-    return out, [begin for begin, (n, whole) in held.items() if whole and 2 * n > n_words]
+    shut(0)
+    return out, [begin for begin, n in wrappers if 2 * n > n_words]
 
 
 def counted(page: str | None) -> Counter:

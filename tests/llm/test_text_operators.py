@@ -175,3 +175,27 @@ def test_html_region_is_the_best_of_all():
         scores = [WEIGHTS.get(x[:2], html.TAG) * (len(x[2].split()) if x[0] == "text" else 1) for x in parts]
         best = max([0.0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1))])
         assert bool(html.main_text(page, WEIGHTS)) == (best > 0)
+
+
+def test_deep_pages_take_linear_time():
+    """Tags that are never closed, and lists and marked elements in each other."""
+    import time
+
+    from resistrum.llm import html
+
+    weights = html.weights_of({})
+    began = time.time()
+    for page in ("<div>x " * 100_000, "<div class=ad>x " * 50_000, "<ul><li>x " * 50_000, "<form><p>x " * 50_000, "</b>" * 100_000 + "<p>y"):
+        html.main_text(page, weights)
+    assert time.time() - began < 60
+
+
+def test_wrappers_keep_their_article():
+    from resistrum.llm import html
+
+    weights = html.weights_of({("tag", name): (900, 100) for name in ("h1", "p", "object", "div")})
+    words = "one two three four five six seven eight nine ten " * 5
+    for wrapper in ("<div id=page class=has-sidebar>", "<div class='no-sidebar layout'>", "<form>", "<div class='content sidebar'>"):
+        page = f"<body><nav>menu</nav>{wrapper}<article><h1>Head</h1><p>{words}</p><p>See <object>{words}</object></p></article></body>"
+        text = html.main_text(page, weights)
+        assert text.startswith("Head\none two") and "menu" not in text and text.count("ten") == 10
