@@ -37,7 +37,7 @@ SMALL, GROWTH = 16, 8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed_bits(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -59,9 +59,9 @@ class Sketcher:
         self.hashes = _WordHashes()
         self.bounds = np.array([-(-(i << 64) // self.bins) for i in range(self.bins)], dtype=np.uint64)
         tries = np.arange(64 * self.bins, dtype=np.uint64).reshape(64, self.bins)
-        self.donors = (_mix(tries * _M1 + _M2) % np.uint64(self.bins)).astype(np.int64)
-        self.turns = _mix(np.arange(1, rows + 1, dtype=np.uint64) * _M1) | np.uint64(1)
-        self.band_turns = _mix(np.arange(1, bands + 1, dtype=np.uint64) * _M2)
+        self.donors = (mixed_bits(tries * _M1 + _M2) % np.uint64(self.bins)).astype(np.int64)
+        self.turns = mixed_bits(np.arange(1, rows + 1, dtype=np.uint64) * _M1) | np.uint64(1)
+        self.band_turns = mixed_bits(np.arange(1, bands + 1, dtype=np.uint64) * _M2)
 
     def set_of(self, text: str | None) -> np.ndarray:
         """The sorted 64-bit hashes of the distinct shingles."""
@@ -72,7 +72,7 @@ class Sketcher:
         n = min(self.shingle, len(h))
         out = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for k in range(n):
-            out = _mix(out * _M1 + h[k : len(h) - n + 1 + k] * _M3 + _M2)
+            out = mixed_bits(out * _M1 + h[k : len(h) - n + 1 + k] * _M3 + _M2)
         return np.unique(out)
 
     def band_keys(self, hashes: np.ndarray) -> np.ndarray:
@@ -82,14 +82,14 @@ class Sketcher:
         sig = hashes[np.minimum(at, len(hashes) - 1)]
         empty, first = np.flatnonzero(~filled), 0
         while len(empty):
-            donors = self.donors if not first else (_mix((np.arange(64 * self.bins, dtype=np.uint64).reshape(64, self.bins) + np.uint64(first)) * _M1 + _M2) % np.uint64(self.bins)).astype(np.int64)
+            donors = self.donors if not first else (mixed_bits((np.arange(64 * self.bins, dtype=np.uint64).reshape(64, self.bins) + np.uint64(first)) * _M1 + _M2) % np.uint64(self.bins)).astype(np.int64)
             picks = donors[:, empty]
             good = filled[picks]
             which = good.argmax(axis=0)
             done = good.any(axis=0)
             sig[empty[done]] = sig[picks[which[done], np.flatnonzero(done)]]
             empty, first = empty[~done], first + 64 * self.bins
-        return _mix((sig.reshape(self.bands, self.rows) * self.turns).sum(axis=1, dtype=np.uint64) + self.band_turns)
+        return mixed_bits((sig.reshape(self.bands, self.rows) * self.turns).sum(axis=1, dtype=np.uint64) + self.band_turns)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
@@ -126,15 +126,18 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, set array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame:
+def common_members(x: str, y: str) -> Column:
+    return F.size(F.array_intersect(x, y))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int, n_shared: Callable[[str, str], Column] = common_members) -> DataFrame:
     """Those pairs (hub, node, with the sizes hub_n and n) whose sets have 100 * intersection >= percent * union.
 
-    sets has a row (node, set) per node; as_set turns set into an array. Pairs of too different sizes are not looked at.
+    sets has a row (node, set) per node; n_shared counts what two sets share. Pairs of too different sizes are not looked at.
     """
     alike = written(pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "node", "hub_n", "n"), "pairs")
-    shared = F.size(F.array_intersect(as_set("_x"), as_set("_y")))
-    both = _with_sets(alike, sets)
-    return both.where((100 + percent) * shared >= percent * (F.col("n") + F.col("hub_n"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    both = _with_sets(alike, sets).withColumn("_shared", n_shared("_x", "_y"))
+    return both.where((100 + percent) * F.col("_shared") >= percent * (F.col("n") + F.col("hub_n"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, other: str | None = None) -> DataFrame:
@@ -182,11 +185,11 @@ def _rest(percent: int, as_set: Callable[[str], Column]) -> Column:
     return F.transform(lacks, lambda p: F.slice(ordered(p["r"], p["z"]), F.lit(1), long(p["r"])))[0]
 
 
-def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col) -> DataFrame | None:
+def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, n_shared: Callable[[str, str], Column] = common_members) -> DataFrame | None:
     """The components (id, component) of nodes that similar ones join, if they share a bucket; None without links.
 
     active has a row (key, node, n) for each bucket of a node, n the size of its set. A bucket's hub is its smallest
-    set. All members are compared with it, so that pairs grow with members. A bucket of few members (SMALL, more in
+    set; as_set turns a row's set into an array. All members are compared with it, so that pairs grow with members. A bucket of few members (SMALL, more in
     later rounds) that then holds several components has those compared with each other. In a larger one, two
     members of which one isn't similar to the hub can be similar only if they share a member of their sets that the
     hub lacks, as the hub is not larger than either. These, by hub, are the next round's buckets. No pair is lost, and
@@ -202,14 +205,14 @@ def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[s
     while True:
         hubs = written(active.groupBy("key").agg(F.min(F.struct("n", "node")).alias("h"), F.count("*").alias("_n")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "_n"), "hubs")
         met = written(dealt_join(active, hubs, ["key"], F.xxhash64("node"), hubs.select("key", "_n")), "met")
-        links = more(similar(met.where("node <> hub").select("hub", "hub_n", "node", "n").distinct(), sets, percent, as_set))
+        links = more(similar(met.where("node <> hub").select("hub", "hub_n", "node", "n").distinct(), sets, percent, n_shared))
         settled, labels = links, None if links is None else written(components(links), "labels")
         labelled = written(_labelled(met, labels), "labelled")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
         some = labelled.where(F.col("_n") <= few).join(mixed, "key").where("node <> hub").select("key", "node", "n", "label")
         others = some.toDF("key", "hub", "hub_n", "hub_label")
         pairs = some.join(others, "key").where("node > hub AND label <> hub_label").select("hub", "hub_n", "node", "n").distinct()
-        links = more(similar(pairs, sets, percent, as_set))
+        links = more(similar(pairs, sets, percent, n_shared))
         many = labelled.where(F.col("_n") > few).join(mixed, "key").where("node <> hub").select("hub", "hub_n", "node", "n", "label").distinct()
         other = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("other")
         many = written(many, "open")
