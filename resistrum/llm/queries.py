@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resistrum.llm import bpe, html, langid, linededup, media, minhash, mixing, quality, urlfilter, warc
+from resistrum.llm import bpe, fim, html, langid, linededup, media, merkle, minhash, mixing, quality, simhash, urlfilter, warc
 from resistrum.llm.common import new_path, table
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -188,6 +188,97 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN over USING (doc_id)
 """
 
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"), fim.LETTER_RUNS)
+    lengths = (F.char_length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", *lengths, F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+),
+h AS (SELECT *, list_transform(range(4), lambda k: ('0x' || substr(d, 1 + 8 * k, 8))::BIGINT) AS h FROM u),
+c AS (
+  SELECT *, least(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS a, greatest(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+),
+x AS (
+  SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1:b], '') AS middle, array_to_string(us[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, len(us)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM x
+"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    leaf = merkle.digest(*fields, F.col("text"))
+    claim = F.when(changed, merkle.digest(*fields, F.translate("text", upper, lower))).otherwise(leaf)
+    made = merkle.manifest(docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("tree"), leaf.alias("leaf"), claim.alias("claim")))
+    folded = made.withColumn("folded_root", merkle.folded(F.col("claim"), F.col("proof")))
+    return folded.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _sql_digest(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+),
+d AS (
+  SELECT *, {_sql_digest("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_sql_digest("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS code
+  FROM documents, crc
+),
+n AS (
+  SELECT doc_id, lang, leaf, CASE WHEN code % 3 = 0 THEN lowered ELSE leaf END AS claim, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d
+),
+up AS (
+  SELECT lang, 0 AS level, i, leaf AS h, n FROM n
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY lang, level, i // 8, n
+),
+sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, t AS i, subroot AS h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, i // 8, n
+),
+steps AS (
+  SELECT n.lang, n.i, u.level, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i < n.i >> (3 * u.level)), '') AS before, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i > n.i >> (3 * u.level)), '') AS after
+  FROM n JOIN up u ON n.lang IS NOT DISTINCT FROM u.lang AND u.n > 1 AND u.i // 8 = n.i >> (3 * u.level + 3) GROUP BY ALL
+  UNION ALL
+  SELECT n.lang, n.i, 100 + u.level, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i < s.t >> (3 * u.level)), ''), coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i > s.t >> (3 * u.level)), '')
+  FROM n JOIN sub s ON n.lang IS NOT DISTINCT FROM s.lang JOIN top u ON u.n > 1 AND u.i // 8 = s.t >> (3 * u.level + 3) GROUP BY ALL
+),
+path AS (SELECT *, row_number() OVER (PARTITION BY lang, i ORDER BY level) - 1 AS k FROM steps),
+fold AS (
+  SELECT lang, i, 0 AS k, claim AS h FROM n
+  UNION ALL
+  SELECT f.lang, f.i, f.k + 1, sha256(before || h || after) FROM fold f JOIN path p ON f.lang IS NOT DISTINCT FROM p.lang AND f.i = p.i AND f.k = p.k
+),
+ends AS (SELECT lang, i, arg_max(h, k) AS folded_root FROM fold GROUP BY lang, i),
+proofs AS (SELECT lang, i, string_agg(before || after, '' ORDER BY k) AS siblings FROM path GROUP BY lang, i)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = (SELECT h FROM top WHERE n = 1) AS verified
+FROM n JOIN sub s ON n.lang IS NOT DISTINCT FROM s.lang JOIN ends e ON n.lang IS NOT DISTINCT FROM e.lang AND n.i = e.i LEFT JOIN proofs p ON n.lang IS NOT DISTINCT FROM p.lang AND n.i = p.i
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_minhash": op2_minhash,
@@ -199,5 +290,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_merkle": op12_merkle,
+    "op13_simhash": op13_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_source_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_source_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op10_quality_rules": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_merkle": OP12_SQL}
