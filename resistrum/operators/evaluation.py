@@ -24,9 +24,15 @@ def alert_budget(target: float, site_years: Column, permutations: int) -> Column
 
 
 def calibrated(nulls: DataFrame, budget: int, *keys: str) -> DataFrame:
-    """The budget-th largest value of each group: alerts are strictly above it."""
+    """The value after the budget-th largest of each group: alerts are strictly above it, so that at most `budget` nulls would alert.
+
+    A group of no more than `budget` values has minus infinity. Values that aren't finite don't count.
+    """
+    finite = F.col("llr").isNotNull() & ~F.isnan("llr") & (F.abs("llr") < float("inf"))
+    groups = nulls.groupBy(*keys).agg(F.count_if(finite).alias("nulls"))
     order = Window.partitionBy(*keys).orderBy(F.desc("llr"))
-    return nulls.where("llr IS NOT NULL").withColumn("_n", F.row_number().over(order)).where(F.col("_n") == budget).select(*keys, F.col("llr").alias("threshold"))
+    after = nulls.where(finite).withColumn("_n", F.row_number().over(order)).where(F.col("_n") == budget + 1).select(*keys, F.col("llr").alias("threshold"))
+    return groups.join(after, list(keys), "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("-inf"))))
 
 
 def spearman(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -75,9 +81,26 @@ def combined_llr(streams: DataFrame, *keys: str) -> DataFrame:
     return streams.groupBy(*keys).agg(F.sum(F.greatest(F.col("llr"), F.lit(0.0))).alias("llr"), F.count_if(F.col("llr") > 0).alias("streams"))
 
 
+def _ascii(json: Column) -> Column:
+    """json with every character beyond ASCII written as \\u and four digits, those beyond the first plane as two surrogates."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        n = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+        high, low = F.lit(0xD800) + F.shiftright(n - 0x10000, 10), F.lit(0xDC00) + F.pmod(n - 0x10000, F.lit(1024))
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(json.rlike(r"^[\x00-\x7F]*$"), json).otherwise(F.array_join(F.transform(F.split(json, ""), escaped), ""))
+
+
 def canonical(columns: list[str]) -> Column:
-    """A row as JSON with its keys in order; nulls are written."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    """A row as ASCII JSON with its keys in order; nulls are written. Columns may be structs whose fields are in order."""
+    return _ascii(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}))
+
+
+def details_digest(details: Column) -> Column:
+    """What an entry's hash holds of its details (canonical JSON), so that details can be erased and the chain still verifies."""
+    return F.sha2(details, 256)
 
 
 def entry_hash(previous: Column, entry: Column) -> Column:
@@ -85,8 +108,16 @@ def entry_hash(previous: Column, entry: Column) -> Column:
 
 
 def broken_links(chain: DataFrame, columns: list[str], *keys: str) -> DataFrame:
-    """Rows (keys, seq) of an audit chain whose hash isn't that of their content, or whose previous_hash isn't the hash before."""
-    before = F.lag("hash").over(Window.partitionBy(*keys).orderBy("seq"))
-    checked = chain.withColumns({"_before": before, "_own": entry_hash(F.col("previous_hash"), canonical(columns))})
-    wrong = ~F.col("hash").eqNullSafe(F.col("_own")) | ~F.nullif("previous_hash", F.lit("")).eqNullSafe(F.col("_before"))
-    return checked.where(wrong).select(*keys, "seq")
+    """Rows (keys, seq) of an audit chain that don't hold, and why: reason is 'link', 'entry' or 'details'.
+
+    A link is broken if previous_hash isn't the hash of the row before (empty for the first), an entry if hash isn't that of
+    previous_hash and the columns, details if their digest isn't details_digest. Rows with a digest hash that instead of their
+    details; erased ones have none to hold against it. Every row is judged, not only the first that fails.
+    """
+    known = chain.withColumns({c: F.col(c) if c in chain.columns else F.lit(None).cast("string") for c in ("details", "details_digest", "erased_at")})
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy(*keys).orderBy("seq")), F.lit(""))
+    previous = F.coalesce("previous_hash", F.lit(""))
+    own = F.when(F.coalesce("details_digest", F.lit("")) == "", entry_hash(previous, canonical([*columns, "details"]) if "details" in chain.columns else canonical(columns))).otherwise(entry_hash(previous, canonical([*columns, "details_digest"])))
+    altered = (F.coalesce("details_digest", F.lit("")) != "") & (F.coalesce("erased_at", F.lit("")) == "") & ~details_digest(F.col("details")).eqNullSafe(F.col("details_digest"))
+    reason = F.when(previous != F.col("_before"), "link").when(~F.col("hash").eqNullSafe(own), "entry").when(altered, "details")
+    return known.withColumn("_before", before).withColumn("reason", reason).where("reason IS NOT NULL").select(*keys, "seq", "reason")

@@ -68,31 +68,47 @@ def breached(value: Column, comparison: Column, threshold: Column) -> Column:
     return F.coalesce(value.isNotNull() & found, F.lit(False))
 
 
-def rare_results(results: DataFrame, keys: list[str], least: int = 20, share: float = 5.0) -> DataFrame:
-    """Results of which the others of the same keys, at least `least`, hold less than `share` per cent.
+def rare_results(results: DataFrame, keys: list[str], isolate: str, least: int = 20, share: float = 5.0) -> DataFrame:
+    """Alerts (isolate, keys, agent, result, alert) on results (isolate, keys, agent, result R, I or S) that the history of their keys makes unusual.
 
-    Counts are aggregated by keys and result first; each row then takes its own out. No row meets more than one of each.
+    The history is that of the other isolates of the same keys, at least `least`. 'result': R or S, of an agent tested in at least `least` of
+    them, that less than `share` per cent of those have. 'test': an agent tested in some, but in less than `share` per cent. Counts are
+    made once, by keys and by keys and agent; a row takes its own isolate out of them.
     """
-    own = results.where("result IS NOT NULL").groupBy(*keys, "result").agg(F.count("*").alias("_same"))
-    all_ = own.groupBy(*keys).agg(F.sum("_same").alias("_all"))
-    counted = results.join(own, [*keys, "result"]).join(all_, keys).withColumns({"history": F.col("_all") - 1, "same": F.col("_same") - 1})
-    return counted.where((F.col("history") >= least) & (100.0 * F.col("same") < share * F.col("history"))).drop("_same", "_all")
+    known = results.where(F.col("result").isin("R", "I", "S")).groupBy(isolate, *keys, "agent").agg(F.max("result").alias("result"))
+    isolates = results.select(isolate, *keys).distinct().groupBy(*keys).agg((F.count("*") - 1).alias("history"))
+    counts = known.groupBy(*keys, "agent").agg((F.count("*") - 1).alias("tested"), F.count_if(F.col("result") == "R").alias("_r"), F.count_if(F.col("result") == "S").alias("_s"))
+    row = known.join(counts, [*keys, "agent"]).join(isolates, keys).where(F.col("history") >= least)
+    same = F.when(F.col("result") == "R", F.col("_r")).when(F.col("result") == "S", F.col("_s")) - 1
+    rare = F.when((F.col("tested") >= least) & (100.0 * same < share * F.col("tested")), "result")
+    seldom = F.when((F.col("tested") > 0) & (100.0 * F.col("tested") < share * F.col("history")), "test")
+    return row.withColumn("alert", F.explode(F.filter(F.array(rare, seldom), lambda x: x.isNotNull()))).select(isolate, *keys, "agent", "result", "history", "tested", "alert")
 
 
 def identified(records: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """wanted with the newest record (isolate_id) of the same identity, or null; nulls match nulls."""
-    newest = records.groupBy(*keys).agg(F.max("isolate_id").alias("isolate_id")).toDF(*[f"_{k}" for k in keys], "isolate_id")
-    match = F.lit(True)
-    for k in keys:
-        match = match & wanted[k].eqNullSafe(newest[f"_{k}"])
-    return wanted.join(newest, match, "left").drop(*[f"_{k}" for k in keys])
+    """wanted with the oldest record (smallest isolate_id) of the same identity, or null. Case and white space around a key don't count; an identity that lacks a key is none."""
+    plain = lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+    oldest = records.groupBy(*[plain(k).alias(f"_{k}") for k in keys]).agg(F.min("isolate_id").alias("isolate_id"))
+    return wanted.withColumns({f"_{k}": plain(k) for k in keys}).join(oldest, [f"_{k}" for k in keys], "left").select(*wanted.columns, "isolate_id")
 
 
-def pending(queries: DataFrame, dispatches: DataFrame, sites: DataFrame) -> DataFrame:
-    """(query_id, site) still to be sent: queries to all, and those whose targets name the site, without a dispatch."""
-    targeted = queries.where("targets IS NOT NULL").select("query_id", F.explode(F.array_distinct("targets")).alias("site")).join(sites.select("site"), "site", "left_semi")
-    everyone = queries.where("targets IS NULL").select("query_id", F.lit(1).alias("_all")).join(sites.select("site", F.lit(1).alias("_all")), "_all")
-    return targeted.select("query_id", "site").unionByName(everyone.select("query_id", "site")).join(dispatches.select("query_id", "site"), ["query_id", "site"], "left_anti")
+def pending(queries: DataFrame, dispatches: DataFrame, sites: DataFrame, now: str | None = None) -> DataFrame:
+    """(query_id, site) still to be sent: of active queries that have not expired, to the sites that targets name, or to all if it is null; an empty list is nobody.
+
+    A dispatch made before counts unless it is pending. queries: query_id, targets, and, if it has them, status and expires_at.
+    Sites are gathered once, as a list that each query of all sites takes: what is made are the pairs to be sent.
+    """
+    active = queries
+    if "status" in queries.columns:
+        active = active.where("status = 'active'")
+    if "expires_at" in queries.columns and now is not None:
+        active = active.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
+    every = sites.agg(F.collect_set("site").alias("_every"))  # as many as there are sites
+    sent = dispatches.where("status <> 'pending'") if "status" in dispatches.columns else dispatches
+    done = sent.groupBy("query_id").agg(F.collect_set("site").alias("_done"))
+    wanted = active.select("query_id", "targets").join(done, "query_id", "left").join(F.broadcast(every))
+    left = F.array_except(F.when(F.col("targets").isNull(), F.col("_every")).otherwise(F.array_intersect("targets", "_every")), F.coalesce("_done", F.array().cast(done.schema["_done"].dataType)))
+    return wanted.select("query_id", F.explode(left).alias("site"))
 
 
 def cases_in_clusters(cases: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -104,17 +120,6 @@ def cases_in_clusters(cases: DataFrame, clusters: DataFrame) -> DataFrame:
     return cases.join(days, ["signal", "day"]).where("_at IS NULL OR _at = location").drop("_at")
 
 
-def matched_signals(signals: DataFrame, outbreaks: DataFrame) -> DataFrame:
-    """(signal_id, outbreak_id) of the same organism with a day in common, at the same location or a pooled signal."""
-    s = signals.select("signal_id", "organism", F.col("location").alias("_at"), F.explode(F.sequence("begin", "end")).alias("_day"))
-    o = outbreaks.select("outbreak_id", "organism", "location", F.explode(F.sequence("begin", "end")).alias("_day"))
-    return s.join(o, ["organism", "_day"]).where("_at IS NULL OR _at = location").select("signal_id", "outbreak_id").distinct()
-
-
-def unmatched_signals(signals: DataFrame, outbreaks: DataFrame) -> DataFrame:
-    return signals.join(matched_signals(signals, outbreaks), "signal_id", "left_anti")
-
-
 def ranked_children(latest: DataFrame, n: int = 20) -> DataFrame:
     """The n children of highest rate, those without a rate last, then by name. A top-k report."""
     return latest.orderBy(F.desc_nulls_last("rate"), "child").limit(n)

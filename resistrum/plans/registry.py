@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from resistrum.plans import analysis, screening  # noqa: F401  screening adds its queries to those of analysis
+from resistrum.plans import analysis, catalogue, interchange, scanning, screening  # noqa: F401  the others add their queries to those of analysis
 
 QUERIES: dict = dict(analysis.QUERIES)
 ORACLE_SQL: dict = dict(analysis.ORACLE_SQL)

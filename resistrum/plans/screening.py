@@ -42,30 +42,48 @@ def threshold_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("site", "rate", rules.alias("r")).select("site", "rate", "r.rule", "r.limit").where(screening.breached(F.col("rate"), F.col("rule"), F.col("limit"))).drop("limit")
 
 
-@query("""WITH c AS (SELECT *, count(*) OVER (PARTITION BY location, organism, agent) - 1 AS history, count(*) OVER (PARTITION BY location, organism, agent, result) - 1 AS same FROM v_ast WHERE result IS NOT NULL)
-SELECT order_key, line, location, organism, agent, result, history, same FROM c WHERE history >= 2 AND 100.0::DOUBLE * same < 30 * history""")
+#: Six agents, and few of them resistant.
+_FEW = "SELECT order_key, organism, string_split(agent, ' ')[1] AS agent, CASE WHEN result = 'R' AND line % 4 <> 0 THEN 'I' ELSE result END AS result FROM v_ast"
+
+
+@query(f"""WITH d AS ({_FEW}), k AS (SELECT order_key, organism, agent, max(result) AS result FROM d WHERE result IS NOT NULL GROUP BY ALL),
+i AS (SELECT organism, count(DISTINCT order_key) - 1 AS history FROM d GROUP BY ALL), c AS (SELECT organism, agent, count(*) - 1 AS tested, count(*) FILTER (result = 'R') AS r, count(*) FILTER (result = 'S') AS s FROM k GROUP BY ALL),
+f AS (SELECT *, CASE result WHEN 'R' THEN r WHEN 'S' THEN s END - 1 AS same FROM k JOIN c USING (organism, agent) JOIN i USING (organism) WHERE history >= 20)
+SELECT order_key, organism, agent, result, history, tested, 'result' AS alert FROM f WHERE tested >= 20 AND 100 * same < 17 * tested
+UNION ALL SELECT order_key, organism, agent, result, history, tested, 'test' FROM f WHERE tested > 0 AND 100 * tested < 17 * history""")
 def rare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = screening.rare_results(adapters.ast(spark, sf_dir), ["location", "organism", "agent"], 2, 30.0)
-    return found.select("order_key", "line", "location", "organism", "agent", "result", "history", "same")
+    few = F.when((F.col("result") == "R") & (F.col("line") % 4 != 0), "I").otherwise(F.col("result"))
+    d = adapters.ast(spark, sf_dir).select("order_key", "organism", F.split("agent", " ")[0].alias("agent"), few.alias("result"))
+    return screening.rare_results(d, ["organism"], "order_key", 20, 17.0)
+
+
+#: Identities asked for in other case and spacing, without a key, or that no record has.
+_ASKED = "CASE WHEN isolate_id % 7 = 0 THEN NULL WHEN isolate_id % 3 = 0 THEN ' p' || patient || ' ' WHEN isolate_id % 5 = 0 THEN 'Q' || patient ELSE 'P' || patient END"
 
 
-@query("""WITH n AS (SELECT site, patient, max(isolate_id) AS isolate_id FROM v_isolate GROUP BY 1, 2), w AS (SELECT DISTINCT site, patient + (CASE WHEN patient % 3 = 0 THEN 1 ELSE 0 END) AS patient FROM v_isolate)
-SELECT w.site, w.patient, n.isolate_id FROM w LEFT JOIN n ON w.site IS NOT DISTINCT FROM n.site AND w.patient IS NOT DISTINCT FROM n.patient""")
+@query(f"""WITH r AS (SELECT isolate_id, 'lab-' || site AS lab, 'P' || patient AS patient FROM v_isolate), w AS (SELECT DISTINCT 'LAB-' || site AS lab, {_ASKED} AS patient FROM v_isolate),
+o AS (SELECT lab, patient, min(isolate_id) AS isolate_id FROM r GROUP BY ALL)
+SELECT w.lab, w.patient, o.isolate_id FROM w LEFT JOIN o ON lower(w.lab) = o.lab AND lower(trim(w.patient)) = lower(o.patient)""")
 def identity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = adapters.isolates(spark, sf_dir)
-    wanted = d.select("site", (F.col("patient") + F.when(F.col("patient") % 3 == 0, 1).otherwise(0)).alias("patient")).distinct()
-    return screening.identified(d, wanted, ["site", "patient"])
+    records = d.select("isolate_id", F.concat(F.lit("lab-"), "site").alias("lab"), F.concat(F.lit("P"), "patient").alias("patient"))
+    wanted = d.select(F.concat(F.lit("LAB-"), "site").alias("lab"), F.expr(_ASKED).alias("patient")).distinct()
+    return screening.identified(records, wanted, ["lab", "patient"])
 
 
-@query("""WITH q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 7 END AS target FROM part WHERE p_size = 1),
-s AS (SELECT s_suppkey AS site FROM supplier), c AS (SELECT query_id, site FROM q JOIN s ON target IS NULL OR site = target)
-SELECT query_id, site FROM c WHERE (query_id + site) % 2 = 1""")
+@query("""WITH q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN [] ELSE [p_partkey % 7, p_partkey % 5, -1] END AS targets, p_partkey % 3 <> 0 AS active, p_partkey % 5 = 0 AS expired FROM part WHERE p_size = 1),
+s AS (SELECT s_suppkey AS site FROM supplier), c AS (SELECT DISTINCT query_id, site FROM q JOIN s ON targets IS NULL OR list_contains(targets, site) WHERE active AND NOT expired)
+SELECT query_id, site FROM c WHERE (query_id + site) % 3 <> 0""")
 def pending_dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, sites = adapters.table(spark, sf_dir, "part").where("p_size = 1"), adapters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"))
-    queries = part.select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 4 != 0, F.array(F.col("p_partkey") % 7)).alias("targets"))
-    everything = screening.pending(queries, queries.select("query_id", F.lit(None).cast("long").alias("site")).limit(0), sites)
-    sent = everything.where((F.col("query_id") + F.col("site")) % 2 == 0)
-    return screening.pending(queries, sent, sites)
+    k = F.col("p_partkey")
+    targets = F.when(k % 4 == 1, F.array().cast("array<bigint>")).when(k % 4 != 0, F.array(k % 7, k % 5, F.lit(-1).cast("long")))
+    expires = F.when(k % 5 == 0, F.lit("2026-01-01")).when(k % 5 == 1, F.lit("2027-01-01")).cast("timestamp")
+    queries = part.select(k.alias("query_id"), targets.alias("targets"), F.when(k % 3 != 0, "active").otherwise("closed").alias("status"), expires.alias("expires_at"))
+    # those sent before: a third of the pairs; as many are only pending
+    state = F.when((F.col("query_id") + F.col("site")) % 3 == 0, "sent").when((F.col("query_id") + F.col("site")) % 3 == 1, "pending")
+    sent = screening.pending(queries, queries.select("query_id", F.lit(None).cast("long").alias("site")).limit(0), sites, "2026-06-01").withColumn("status", state).where("status IS NOT NULL")
+    return screening.pending(queries, sent, sites, "2026-06-01")
 
 
 CLUSTERS = "SELECT row_number() OVER (ORDER BY signal, location) AS cluster_id, CASE WHEN location = 'L1' THEN NULL ELSE location END AS location, signal, min(day) AS begin, min(day) + INTERVAL 3 DAY AS \"end\" FROM v_event GROUP BY signal, location"
@@ -110,9 +128,11 @@ def null_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.moments(adapters.events(spark, sf_dir).withColumnRenamed("value", "llr"), "location")
 
 
-@query("SELECT location, value AS threshold FROM (SELECT location, value, row_number() OVER (PARTITION BY location ORDER BY value DESC) AS k FROM v_event WHERE value IS NOT NULL) WHERE k = 5")
+@query("""WITH v AS (SELECT location, patient % 40 AS part, value FROM v_event), g AS (SELECT location, part, count(value) AS nulls FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY location, part ORDER BY value DESC) AS k FROM v WHERE value IS NOT NULL)
+SELECT location, part, nulls, coalesce(value, '-infinity'::DOUBLE) AS threshold FROM g LEFT JOIN (SELECT location, part, value FROM r WHERE k = 26) USING (location, part)""")
 def calibrated_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.calibrated(adapters.events(spark, sf_dir).withColumnRenamed("value", "llr"), 5, "location")
+    d = adapters.events(spark, sf_dir).select("location", (F.col("patient") % 40).alias("part"), F.col("value").alias("llr"))
+    return evaluation.calibrated(d, 25, "location", "part")
 
 
 @query("""WITH d AS (SELECT location, floor(value)::DOUBLE AS x, (event_id % 17)::DOUBLE AS y FROM v_event WHERE value IS NOT NULL),
@@ -146,12 +166,24 @@ def bernoulli_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.bernoulli_cusum(d, 0.25, 0.5).select("location", "signal", "day", F.floor(F.col("cusum") * 1e6 + 0.5).cast("long").alias("cusum_e6"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-h AS (SELECT conv_id, turn, role, sha256('{"role":"' || role || '","turn":' || turn || '}') AS own FROM c)
-SELECT conv_id, turn AS seq FROM h WHERE turn % 5 = 3""")
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL),
+n AS (SELECT *, sha256('{"role":"' || role || '","turn":' || turn || '}') AS digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t),
+h AS (
+  SELECT conv_id, k, turn, role, digest, '' AS previous_hash, sha256('{"conv_id":' || conv_id || ',"details_digest":"' || digest || '","turn":' || turn || '}') AS hash FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.conv_id, n.k, n.turn, n.role, n.digest, h.hash, sha256(h.hash || '{"conv_id":' || n.conv_id || ',"details_digest":"' || n.digest || '","turn":' || n.turn || '}') FROM h JOIN n ON n.conv_id = h.conv_id AND n.k = h.k + 1
+),
+f AS (SELECT conv_id, k, turn, digest, previous_hash, CASE WHEN turn % 5 = 3 THEN 'forged' ELSE hash END AS hash, CASE WHEN turn % 4 = 2 THEN 'x' ELSE role END AS role, turn % 3 = 2 AS erased FROM h),
+v AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before, sha256(previous_hash || '{"conv_id":' || conv_id || ',"details_digest":"' || digest || '","turn":' || turn || '}') AS own, sha256('{"role":"' || role || '","turn":' || turn || '}') AS now FROM f),
+r AS (SELECT conv_id, turn AS seq, CASE WHEN previous_hash <> before THEN 'link' WHEN hash <> own THEN 'entry' WHEN NOT erased AND digest <> now THEN 'details' END AS reason FROM v)
+SELECT conv_id, seq, reason FROM r WHERE reason IS NOT NULL""")
 def broken_audit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = adapters.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "turn")
-    own = evaluation.entry_hash(F.lit(None).cast("string"), evaluation.canonical(["role", "turn"]))
-    forged = chain.withColumn("previous_hash", F.lit(None).cast("string")).withColumn("hash", F.when(F.col("turn") % 5 == 3, F.lit("forged")).otherwise(own))
-    one_each = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("seq").cast("string"))
-    return evaluation.broken_links(forged.withColumn("chain", one_each), ["role", "turn"], "conv_id", "chain").select("conv_id", "seq")
+    """A chain of entries for each conversation, in which hashes are forged and details changed, some of them erased before."""
+    t = adapters.table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    d = t.withColumn("details_digest", evaluation.details_digest(evaluation.canonical(["role", "turn"]))).withColumn("_entry", evaluation.canonical(["conv_id", "details_digest", "turn"]))
+    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["details_digest"].alias("details_digest"), F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.lit("")).alias("previous_hash"), evaluation.entry_hash(F.try_element_at(acc, F.lit(-1))["hash"], x["_entry"]).alias("hash"))))
+    none = F.array().cast("array<struct<turn: bigint, role: string, details_digest: string, previous_hash: string, hash: string>>")
+    entries = F.array_sort(F.collect_list(F.struct("turn", "role", "details_digest", "_entry")))
+    chain = d.groupBy("conv_id").agg(entries.alias("e")).select("conv_id", F.explode(F.aggregate("e", none, step)).alias("x")).select("conv_id", "x.*")
+    forged = chain.withColumns({"hash": F.when(F.col("turn") % 5 == 3, "forged").otherwise(F.col("hash")), "role": F.when(F.col("turn") % 4 == 2, "x").otherwise(F.col("role")), "erased_at": F.when(F.col("turn") % 3 == 2, "2026-01-01")})
+    return evaluation.broken_links(forged.withColumns({"details": evaluation.canonical(["role", "turn"]), "seq": F.col("turn")}), ["conv_id", "turn"], "conv_id")
