@@ -1,17 +1,21 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tags and texts. A text scores a positive weight for each word, a tag a negative one; one
-linear scan finds the contiguous region with the highest sum, the first of equals. Weights are learned from
-labelled pages: how often words of a kind (plain, heading, list, link) and tags of a name lie inside the labelled
-content, as log odds that keep their sign. By default the pages that mark exactly one `article` are the labels, of
-which about LABELLED are used, chosen by a hash; this bound is the only one. Every page is then judged whole. The
-tags `article` and `main` score nothing themselves, so that the weights hold for pages without them.
+A page is a sequence of tags and texts. A text scores a positive weight for each word, an element a negative one where
+it begins; one linear scan finds the contiguous region with the highest sum, the first of equals. Weights are learned
+from labelled pages: how often words of a kind (plain, heading, list, link) and elements of a class (block, row, inline,
+link) lie inside the labelled content, as log odds that keep their sign. Elements are pooled by class, so that those
+which labelled pages happen to lack, such as tables, cost no more than their like. By default the pages that mark exactly
+one `article` are the labels, of which about LABELLED are used, chosen by a hash; this bound is the only one. Every page
+is then judged whole. The tags `article` and `main` score nothing themselves, so that the weights hold for pages without them.
 
 Elements that are not content by their name or their class, id or role (menus, sidebars, notices, adverts, forms,
 comments) are one negative tag: their words neither score nor count as text, wherever they stand. A name says so by
 its last part, so that `site-footer` does, while `comments-open` and `has-sidebar` tell of a page's state. A form with
 most of the page's words is a wrapper of the page and counts as content, and so is an element with such a name if it
-holds a main heading, `main` or `article` too; menus and comments are not, however long.
+holds a main heading, `main` or `article` too; menus and comments are not, however long. Whatever its name, an element is
+content if it holds all of the page's articles (or, without any, all that is `main`) and more words than are content outside
+of it. Names within `article` and `main` bar nothing on a page that would have no text otherwise. Controls of forms, drawings,
+frames, templates and what is shown without scripts only are never text, as none of it is in the page as it is read.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by line
 feeds; empty blocks are left out.
@@ -34,16 +38,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages in use, about; pseudo-counts behind each prior; the weakest weight; the strongest of a word and of a tag.
-LABELLED, PRIOR, LEAST, MOST_WORD, MOST_TAG = 2000, 5.0, 0.1, 1.0, 6.0
+#: Labelled pages in use, about; pseudo-counts behind each prior; the weakest and the strongest weight of a word.
+LABELLED, PRIOR, LEAST, MOST_WORD = 2000, 5.0, 0.1, 1.0
 SLICE = 64
-#: Weights before any page was seen.
+#: Weights of words before any page was seen.
 WORDS = {"plain": 1.0, "heading": 1.0, "list": 0.3, "link": 0.1}
-TAG, BOILERPLATE = -3.0, -6.0
+#: By class of elements: the weight before any page was seen, the weakest and the strongest one. An element of no known name has TAG.
+CLASSES = {"block": (-0.3, -0.1, -1.0), "row": (-0.3, -0.1, -1.0), "inline": (-0.05, -0.02, -0.2), "link": (-1.0, -0.5, -2.0)}
+TAG, BOILERPLATE = -0.3, -6.0
 _RAW = "script style title textarea template noscript iframe svg canvas select option button".split()
 _OUT = {"nav", "aside", "footer", "form", "dialog", "menu", "fieldset"}
 _BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+_INLINE = set("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_ROWS = set("caption col colgroup dd dt figcaption li summary tbody td tfoot th thead tr".split())
 _SHUTS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Words in class, id and role that mark what is not content.
 _MARKS = set(
@@ -51,7 +59,7 @@ _MARKS = set(
     " notification alert popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus respond replies toolbar pagination pager login copyright complementary contentinfo".split()
 )
 _ITEM = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Marks of what may be longer than a page's main text, and first parts of names that tell of a state.
@@ -71,40 +79,45 @@ def _wrapper(name: str, attrs: str) -> bool:
     return name in {"form", "fieldset"} or (name not in _OUT and name != "header" and _LONG.isdisjoint(_marks(attrs)))
 
 
-def _out(name: str, attrs: str, within: bool) -> bool:
-    """Whether an element is not content by its name or marks; within: it stands in an article or main."""
+def _class(name: str) -> str | None:
+    """The class of an element of a known name."""
+    return "link" if name == "a" else "inline" if name in _INLINE else "row" if name in _ROWS else "block" if name in _BLOCKS | _VOID | {"raw", "object"} else None
+
+
+def _out(name: str, attrs: str, within: bool, named: bool = True) -> bool:
+    """Whether an element is not content by its name or marks; within: it stands in an article or main, where marks count if `named`."""
     if name in _OUT:
         return True
     if name == "header":
         return not within
-    if not attrs or name in {"html", "body", "article", "main"}:
+    if not attrs or name in {"html", "body", "article", "main"} or (within and not named):
         return False
     words = _marks(attrs)
     return not words.isdisjoint(_MARKS) or ("header" in words and not within)
 
 
-
 def items(page: str | None) -> list[tuple[str, str, str, bool, bool]]:
     """The page as (kind, name, text, in an article, content) in page order.
 
-    kind is "text" (name says where: plain, heading, list or link) or "tag"; a tag's name is "boilerplate" where an
-    element begins that is not content. content is false within such elements.
+    kind is "text" (name says where: plain, heading, list or link), "tag" where an element begins or "end"; a tag's name is
+    "boilerplate" where an element begins that is not content. content is false within such elements.
     """
     found, wrappers = _items(page or "", frozenset())
     return _items(page or "", frozenset(wrappers))[0] if wrappers else found
 
 
-def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, bool, bool]], list[int]]:
+def _items(page: str, kept: frozenset[int], named: bool = True) -> tuple[list[tuple[str, str, str, bool, bool]], list[int]]:
     """The items, and where the elements begin that are out but wrap the page; those that begin at one of kept are not out."""
     out: list[tuple[str, str, str, bool, bool]] = []
     stack: list[tuple[str, bool]] = []
     # where elements of a name, and blocks, are open in the stack; so no step walks it
     places: defaultdict[str, list[int]] = defaultdict(list)
     blocks: list[int] = []
-    # open elements that are out: place, begin (-1 if it can't be a wrapper), words and main headings before it, whether a form
-    around: list[tuple[int, int, int, int, bool]] = []
+    # open elements that are out: place, begin, whether it may be a wrapper by its name, whether a form; words, main headings, all words, articles and mains before it
+    around: list[tuple[int, int, bool, bool, int, int, int, int, int]] = []
     wrappers: list[tuple[int, int]] = []
-    always, n_words, n_heads, barred, at = 0, 0, 0, 0, 0
+    holders: list[tuple[int, int, int, int]] = []
+    always, n_words, n_heads, n_all, n_open, n_articles, n_mains, barred, at = 0, 0, 0, 0, 0, 0, 0, 0, 0
 
     def last(*names: str) -> int:
         return max(places[n][-1] if places[n] else -1 for n in names)
@@ -112,10 +125,12 @@ def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, b
     def shut(k: int) -> None:
         nonlocal barred, always
         while around and around[-1][0] >= k:
-            _, begin, words, heads, form = around.pop()
-            always -= begin < 0
-            if begin >= 0 and (form or n_heads > heads):
+            _, begin, may, form, words, heads, every, articles, mains = around.pop()
+            always -= not may
+            if may and (form or n_heads > heads):
                 wrappers.append((begin, n_words - words))
+            if n_articles > articles or n_mains > mains:
+                holders.append((begin, n_all - every, n_articles - articles, n_mains - mains))
         while len(stack) > k:
             name, bars = stack.pop()
             places[name].pop()
@@ -124,9 +139,9 @@ def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, b
             barred -= bars
 
     def text(raw: str) -> None:
-        nonlocal n_words
-        if not always:
-            n_words += len(raw.split())
+        nonlocal n_words, n_all, n_open
+        n = len(raw.split())
+        n_all, n_words, n_open = n_all + n, n_words + (0 if always else n), n_open + (0 if barred else n)
         where = "link" if places["a"] else "heading" if last("h1", "h2", "h3", "h4", "h5", "h6") >= 0 else "list" if places["li"] else "plain"
         out.append(("text", where, html.unescape(raw), bool(places["article"]), not barred))
 
@@ -140,7 +155,7 @@ def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, b
             continue
         name = m["name"].lower()
         if m["end"]:
-            out.append(("tag", name, "", bool(places["article"]), not barred))
+            out.append(("end", name, "", bool(places["article"]), not barred))
             if name in places and places[name]:
                 shut(places[name][-1])
             continue
@@ -150,13 +165,15 @@ def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, b
             same = last(*({"dd", "dt"} if name in {"dd", "dt"} else {"td", "th"} if name in {"td", "th"} else {name}))
             if same > last(*_SHUTS[name]):
                 shut(same)
-        bars = name not in _VOID and m.start() not in kept and _out(name, m["attrs"] or "", last("article", "main") >= 0)
+        bars = name not in _VOID and m.start() not in kept and _out(name, m["attrs"] or "", last("article", "main") >= 0, named)
         if name in {"h1", "main", "article"} and not always:
             n_heads += 1
         if bars:
             may = _wrapper(name, m["attrs"] or "")
-            around.append((len(stack), m.start() if may else -1, n_words, n_heads, name in {"form", "fieldset"}))
+            around.append((len(stack), m.start(), may, name in {"form", "fieldset"}, n_words, n_heads, n_all, n_articles, n_mains))
             always += not may
+        if name in {"article", "main"} and _marks(m["attrs"] or "").isdisjoint(_MARKS):
+            n_articles, n_mains = n_articles + (name == "article"), n_mains + (name == "main")
         out.append(("tag", "boilerplate" if bars and not barred else name, "", bool(places["article"]), not barred))
         if name not in _VOID:
             places[name].append(len(stack))
@@ -167,56 +184,68 @@ def _items(page: str, kept: frozenset[int]) -> tuple[list[tuple[str, str, str, b
     if at < len(page):
         text(page[at:])
     shut(0)
-    return out, [begin for begin, n in wrappers if 2 * n > n_words]
+    whole = [begin for begin, n, articles, mains in holders if n > n_open and (articles == n_articles if n_articles else mains == n_mains)]
+    return out, [begin for begin, n in wrappers if 2 * n > n_words] + whole
 
 
 def counted(page: str | None) -> Counter:
     """How many words and tags of each kind a labelled page has inside and outside of its article."""
     found: Counter = Counter()
     for kind, name, text, inside, content in items(page):
-        if content:
+        if content and kind != "end":
             found[kind, name, inside] += len(text.split()) if kind == "text" else 1
     return found
 
 
 def weights_of(counts: dict[tuple[str, str], tuple[int, int]]) -> dict[tuple[str, str], float]:
-    """Log odds of lying inside, from (inside, outside) by kind and name; words stay positive and tags negative."""
+    """Log odds of lying inside, from (inside, outside) by kind and name; words stay positive and tags negative, which have the odds of their class."""
 
     def odds(prior: float, inside: int, outside: int) -> float:
         p = 1 / (1 + math.exp(-prior))
         return math.log((inside + PRIOR * p) / (outside + PRIOR * (1 - p)))
 
     out = {("text", name): min(MOST_WORD, max(LEAST, odds(prior, *counts.get(("text", name), (0, 0))))) for name, prior in WORDS.items()}
+    pooled = {c: [0, 0] for c in CLASSES}
     for (kind, name), (inside, outside) in counts.items():
-        if kind == "tag" and name not in {"boilerplate", "article", "main"}:
-            out[kind, name] = max(-MOST_TAG, min(-LEAST, odds(TAG, inside, outside)))
+        if kind == "tag" and name not in {"boilerplate", "article", "main", "html", "body", "head"} and (c := _class(name)):
+            pooled[c] = [pooled[c][0] + inside, pooled[c][1] + outside]
+    of_class = {c: max(most, min(least, odds(prior, *pooled[c]))) for c, (prior, least, most) in CLASSES.items()}
+    names = _BLOCKS | _VOID | _INLINE | _ROWS | {"a", "raw", "object"}
+    out |= {("tag", name): of_class[_class(name)] for name in names} | {("end", name): 0.0 for name in names}
     return out | {("tag", "boilerplate"): BOILERPLATE, ("tag", "article"): 0.0, ("tag", "main"): 0.0}
 
 
 def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
     parts = items(page)
-    best, total, begin, region = 0.0, 0.0, 0, (0, 0)
+    text = _best_text(parts, weights)
+    if not text and any(kind == "tag" and name in {"article", "main"} for kind, name, *_ in parts):
+        return _best_text(_items(page or "", frozenset(), named=False)[0], weights)
+    return text
+
+
+def _best_text(parts: list[tuple[str, str, str, bool, bool]], weights: dict[tuple[str, str], float]) -> str:
+    """The text of the region with the highest sum."""
+    edge = [kind != "text" and (name in _BLOCKS or name == "boilerplate") for kind, name, *_ in parts]
+    best, total, begin, region, score = 0.0, 0.0, 0, (0, 0), 0.0
     for k, (kind, name, text, _, content) in enumerate(parts):
-        if not content:
+        if content:
+            score += weights.get((kind, name), TAG) * (len(text.split()) if kind == "text" else 1)
+        # what is in line stands together: a region begins and ends at the edges of blocks
+        if k + 1 < len(parts) and not edge[k] and not edge[k + 1]:
             continue
-        total += weights.get((kind, name), TAG) * (len(text.split()) if kind == "text" else 1)
+        total, score = total + score, 0.0
         if total <= 0:
             total, begin = 0.0, k + 1
         elif total > best:
             best, region = total, (begin, k + 1)
     first, last = region
-    edge = lambda k: parts[k][0] == "tag" and parts[k][1] in _BLOCKS | {"boilerplate"}
-    while best and first and not edge(first - 1):
-        first -= 1
-    while best and last < len(parts) and not edge(last):
-        last += 1
     blocks, now = [], []
     for kind, name, text, _, content in parts[first:last]:
         if kind == "text" and content:
             now.append(text)
         elif name == "br":
             now.append(" ")
-        elif name in _BLOCKS or name == "boilerplate":
+        elif kind != "text" and (name in _BLOCKS or name == "boilerplate"):
             blocks.append(now)
             now = []
     return "\n".join(b for b in (" ".join("".join(x).split()) for x in [*blocks, now]) if b)
@@ -235,7 +264,7 @@ def learned(pages: DataFrame, labelled: int = LABELLED) -> dict[tuple[str, str],
         for b in batches:
             for page in b["html"]:
                 found.update(counted(page))
-        known = [(kind, name, inside, n) for (kind, name, inside), n in found.items() if kind == "text" or name in _BLOCKS | _VOID | {"raw", "a", "b", "i", "em", "strong", "span"}]
+        known = [(kind, name, inside, n) for (kind, name, inside), n in found.items() if kind == "text" or _class(name)]
         yield pd.DataFrame(known, columns=["kind", "name", "inside", "n"])
 
     rows = some.mapInPandas(run, "kind string, name string, inside boolean, n long").groupBy("kind", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
