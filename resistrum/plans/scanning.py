@@ -136,8 +136,8 @@ def multivariate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reported(found: DataFrame, maxima: DataFrame, replicates: int, keys: list[str], most: int = 50) -> DataFrame:
-    """The signals: windows that chance explains in at most 5 % of replicates, none overlapping another; at most 50, a top-k report."""
-    good = scans.ranked(found, maxima, replicates)
+    """The strongest windows, none overlapping another, with how often chance does as well; at most 50, a top-k report."""
+    good = scans.ranked(found, maxima, replicates, report=1.0)
     return scans.non_overlapping(good, keys, [-F.col("llr"), -F.col("observed")]).orderBy(F.desc("llr"), F.desc("observed"), *keys, "location").limit(most)
 
 
@@ -277,7 +277,7 @@ def phenotype_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     proportion_nulls = scans.bernoulli_maxima(cells, ["signal"])
     every = None
     for model, windows, maxima in (("case-only", found, nulls), ("proportion", scans.bernoulli(cells, ["signal"]), proportion_nulls)):
-        chosen = scans.non_overlapping(scans.ranked(windows, maxima, 999), ["signal"], [-F.col("llr"), -F.col("observed")])
+        chosen = scans.non_overlapping(scans.ranked(windows, maxima, 999, report=1.0), ["signal"], [-F.col("llr"), -F.col("observed")])
         moments = maxima.agg(F.avg("top").alias("mean"), F.stddev_pop("top").alias("sd"))
         parts = F.split("signal", "\t")
         rows = chosen.join(F.broadcast(moments)).select(F.concat_ws("/", F.lit(model), "signal", "location", "begin").alias("signal_id"), F.lit(model).alias("model"), parts[0].alias("organism"), parts[1].alias("agent"), "location", "begin", "end", "llr", "p_value", "mean", "sd")
