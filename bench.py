@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from resistrum.plans import registry
 
-HEADLINES = ("antibiogram_unit", "live_cube", "priority_indicators", "denominator_cube", "first_isolates", "episode_dedup", "rates_by_unit", "latest_results", "breakpoint_readings", "daily_series", "cusum_runs", "scan_windows", "scan_clusters", "farrington_alarms", "bernoulli_locations", "text_redaction")
+HEADLINES = ("antibiogram_unit", "live_cube", "priority_indicators", "denominator_cube", "first_isolates", "episode_dedup", "rates_by_unit", "latest_results", "breakpoint_readings", "daily_series", "cusum_runs", "scan_windows", "scan_clusters", "farrington_alarms", "bernoulli_locations", "text_redaction", "rare_results", "identity_lookup", "pending_dispatches", "metric_catalogue", "space_time_windows")
 
 
 def main() -> None:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from resistrum.functions import distributions
 from resistrum.functions.stats import llr_bernoulli, llr_space_time
 
 POOLED = "All locations"
@@ -180,22 +182,6 @@ def bernoulli_scan(denominators: DataFrame, least: int = 3, least_tested: int =
     return both.withColumn("llr", llr_bernoulli(F.col("observed"), F.col("tested"), F.col("all_observed"), F.col("all_tested"))).where("llr > 0")
 
 
-def _glm(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """A weighted log-linear Poisson fit: coefficients, their covariance without dispersion, means, dispersion."""
-    mu = y + 0.1
-    b = np.zeros(x.shape[1])
-    for _ in range(50):
-        z, k = np.log(mu) + (y - mu) / mu, w * mu
-        new = np.linalg.solve((x.T * k) @ x, (x.T * k) @ z)
-        mu = np.exp(np.clip(x @ new, -30, 30))
-        if np.allclose(new, b, rtol=1e-8, atol=1e-10):
-            break
-        b = new
-    cov = np.linalg.inv((x.T * (w * mu)) @ x)
-    phi = float((w * (y - mu) ** 2 / mu).sum() / max(1, len(y) - x.shape[1]))
-    return new, cov, mu, phi
-
-
 def _two_sided(t: float, df: int) -> float:
     """The probability of a larger absolute value of Student's t, by its finite sums; 1 without degrees of freedom."""
     if df < 1:
@@ -209,51 +195,110 @@ def _two_sided(t: float, df: int) -> float:
     return max(0.0, 1.0 - inside)
 
 
-def _reweighted(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, covariance and dispersion of a fit in which high residuals of a first one lose weight."""
-    w = np.ones(len(y))
-    _, cov, mu, phi = _glm(x, y, w)
-    h = np.clip(w * mu * np.einsum("ij,jk,ik->i", x, cov, x), 0, 0.999)
-    # residuals on the scale that makes Poisson counts near normal
-    r = 1.5 * (y ** (2 / 3) * mu ** (-1 / 6) - np.sqrt(mu)) / np.sqrt(max(phi, 1) * (1 - h))
-    w = np.where(r > 1, np.maximum(r, 1) ** -2.0, 1.0)
-    w *= len(w) / w.sum()
-    b, cov, _, phi = _glm(x, y, w)
-    return b, cov, phi
+def _fits(y: np.ndarray, x: np.ndarray, w: np.ndarray, trend: bool) -> dict[str, np.ndarray]:
+    """Weighted log-linear Poisson fits of y on 1 and x, one to a row: coefficients, covariance without dispersion, means, hat values, dispersion.
 
-
-def _farrington(own: pd.DataFrame, years: int, half: int, per_year: int, z: float) -> pd.DataFrame:
+    Fits go on together until each deviance stays; a row that has settled is left alone. Values of weight 0 take no part.
+    """
+    mu = y + 0.1
+    eta, old, live = np.log(mu), np.full(len(y), np.inf), np.ones(len(y), dtype=bool)
+    x = x if trend else np.zeros_like(x)
+
+    def moments(k: np.ndarray) -> tuple[np.ndarray, ...]:
+        s0, s1, s2 = k.sum(axis=1), (k * x).sum(axis=1), (k * x * x).sum(axis=1) if trend else np.ones(len(k))
+        return s0, s1, s2, s0 * s2 - s1 * s1
+
+    b0, b1 = np.zeros(len(y)), np.zeros(len(y))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for _ in range(50):
+            k, z = w * mu, eta + (y - mu) / mu
+            s0, s1, s2, det = moments(k)
+            t0, t1 = (k * z).sum(axis=1), (k * x * z).sum(axis=1)
+            b0, b1 = np.where(live, (s2 * t0 - s1 * t1) / det, b0), np.where(live, (s0 * t1 - s1 * t0) / det if trend else 0.0, b1)
+            eta = np.where(live[:, None], np.clip(b0[:, None] + b1[:, None] * x, -30, 30), eta)
+            mu = np.exp(eta)
+            deviance = 2 * (w * (np.where(y > 0, y * np.log(y / mu), 0.0) - (y - mu))).sum(axis=1)
+            live &= ~(np.abs(deviance - old) <= 1e-10 * (np.abs(deviance) + 0.1))
+            old = deviance
+            if not live.any():
+                break
+        s0, s1, s2, det = moments(w * mu)
+        c00, c01, c11 = s2 / det, -s1 / det, s0 / det
+        n = (w > 0).sum(axis=1)
+        df = n - (2 if trend else 1)
+        hat = w * mu * (c00[:, None] + 2 * c01[:, None] * x + c11[:, None] * x * x)
+        phi = np.where(df > 0, (w * (y - mu) ** 2 / mu).sum(axis=1) / np.maximum(df, 1), 1.0)
+    return {"b0": b0, "b1": b1, "c00": c00, "c11": c11 if trend else np.zeros(len(y)), "mu": mu, "hat": hat, "phi": phi, "df": df, "good": np.isfinite(b0) & np.isfinite(b1) & (det > 1e-12)}
+
+
+def _reweighted(y: np.ndarray, x: np.ndarray, w: np.ndarray, trend: bool) -> dict[str, np.ndarray]:
+    """Fits in which residuals above 1 of a first one lose weight; residuals are on the scale that makes Poisson counts near normal."""
+    first = _fits(y, x, w, trend)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = np.sqrt(np.maximum(first["phi"], 1)[:, None] * (1 - first["hat"]))
+        r = np.where(spread > 0, 1.5 * (y ** (2 / 3) * first["mu"] ** (-1 / 6) - np.sqrt(first["mu"])) / spread, 0.0)
+        light = w * np.where(r > 1, np.maximum(r, 1) ** -2.0, 1.0)
+        light *= (w.sum(axis=1) / light.sum(axis=1))[:, None]
+    second = _fits(y, x, np.nan_to_num(light), trend)
+    return {k: np.where(second["good"] if v.ndim == 1 else second["good"][:, None], second[k], v) for k, v in first.items()}
+
+
+def _farrington(own: pd.DataFrame, years: int, half: int, per_year: int, z: float, least: int = 10) -> pd.DataFrame:
+    """Every week of a series that has at least 4 weeks of reference with cases; all weeks are fitted at once."""
     own = own.sort_values("day").reset_index(drop=True)
-    y, n, out = own["cases"].to_numpy(dtype=float), len(own), []
-    for t in range(n):
-        ref = sorted({k for back in range(1, years + 1) for k in range(t - back * per_year - half, t - back * per_year + half + 1) if 0 <= k < t - half})
-        if len(ref) < 2 * half + 1 or y[max(0, t - 3) : t + 1].sum() < 5 or not y[ref].sum():
-            continue
-        x = np.column_stack([np.ones(len(ref)), (np.array(ref) - t) / per_year])
-        try:
-            b, cov, phi = _reweighted(x, y[ref])
-            # the trend's test takes the dispersion as it is, the bound one of at least 1
-            error = math.sqrt(max(0.0, phi * cov[1, 1]))
-            known = error > 0 and _two_sided(b[1] / error, len(ref) - 2) < 0.05
-            if years < 3 or not known or math.exp(min(b[0], 700.0)) > y[ref].max():
-                b, cov, phi = _reweighted(x[:, :1], y[ref])
-        except np.linalg.LinAlgError:
-            continue
-        phi, expected = max(phi, 1.0), float(np.exp(b[0]))
-        spread = math.sqrt((phi * expected + expected**2 * phi * cov[0, 0]) / expected**2) * 2 / 3
-        upper = expected * max(0.0, 1 + z * spread) ** 1.5
-        out.append((own["location"][t], own["signal"][t], own["day"][t], int(y[t]), expected, upper, bool(y[t] > upper)))
-    return pd.DataFrame(out, columns=["location", "signal", "day", "cases", "expected", "upper", "alarm"])
-
-
-def farrington(series: DataFrame, years: int = 5, half: int = 3, per_year: int = 52, z: float = 2.5758293035489004) -> DataFrame:
-    """Quasi-Poisson regression on the same weeks of years before, reweighted once; the 2/3-power bound.
+    y, n = own["cases"].to_numpy(dtype=float), len(own)
+    none = pd.DataFrame(columns=["location", "signal", "day", "cases", "expected", "upper", "dispersion", "scale", "trend", "n_references", "enough"])
+    if y.sum() < least:
+        return none
+    back = np.concatenate([np.arange(-half, half + 1) - per_year * k for k in range(years, 0, -1)])
+    at = np.arange(n)[:, None] + back
+    known = at >= 0
+    ref = np.where(known, y[np.maximum(at, 0)], 0.0)
+    tested = np.flatnonzero((known.sum(axis=1) >= 4) & (ref.sum(axis=1) > 0))
+    if not len(tested):
+        return none
+    ref, w, x = ref[tested], known[tested].astype(float), np.broadcast_to(back / per_year, (len(tested), len(back)))
+    level = _reweighted(ref, x, w, False)
+    keep = np.zeros(len(tested), dtype=bool)
+    if years >= 3:
+        slope = _reweighted(ref, x, w, True)
+        error = np.sqrt(np.maximum(0.0, slope["phi"] * slope["c11"]))
+        # the trend's test takes the dispersion as it is, the bound one of at least 1
+        p = np.array([_two_sided(b / e, int(d)) if e > 0 and d > 0 else 1.0 for b, e, d in zip(slope["b1"], error, slope["df"], strict=True)])
+        keep = slope["good"] & (p < 0.05) & (np.exp(np.minimum(slope["b0"], 700.0)) <= ref.max(axis=1))
+        level = {k: np.where(keep if v.ndim == 1 else keep[:, None], slope[k], v) for k, v in level.items()}
+    phi, expected = np.maximum(level["phi"], 1.0), np.exp(level["b0"])
+    scale = np.sqrt(4 / 9 * expected ** (1 / 3) * (phi + phi * level["c00"] * expected))
+    upper = np.maximum(0.0, expected ** (2 / 3) + z * scale) ** 1.5
+    recent = pd.Series(y).rolling(4, min_periods=1).sum().to_numpy()[tested]
+    out = own.loc[tested, ["location", "signal", "day", "cases"]].assign(expected=expected, upper=upper, dispersion=phi, scale=scale, trend=keep, n_references=w.sum(axis=1).astype(int), enough=recent >= 5)
+    return out[np.isfinite(expected) & (expected > 0)]
+
+
+def farrington(series: DataFrame, years: int = 5, half: int = 3, per_year: int = 52, alpha: float = 0.005, bound: str = "power") -> DataFrame:
+    """Quasi-Poisson regression on the same weeks of years before, reweighted once: expected, upper bound, probability of as many cases, score and alarm.
 
     The trend stays if it is significant at 0.05 over three years or more and predicts no more than the largest
-    reference value. Series hold a row for each week, those without cases too.
+    reference value. bound is that of the 2/3 power or 'negative-binomial', of the fitted mean and dispersion. An alarm is above the
+    bound, with at least 5 cases in the last 4 weeks; quiet weeks are returned without one. Series hold a row for each
+    week, those without cases too; one of fewer than 10 cases is not tested.
     """
+    if bound not in ("power", "negative-binomial"):
+        raise ValueError(bound)
+    z = NormalDist().inv_cdf(1 - alpha)
     fit = lambda own: _farrington(own, years, half, per_year, z)
-    return series.groupBy("location", "signal").applyInPandas(fit, "location string, signal string, day date, cases long, expected double, upper double, alarm boolean")
+    fitted = series.groupBy("location", "signal").applyInPandas(fit, "location string, signal string, day date, cases long, expected double, upper double, dispersion double, scale double, trend boolean, n_references int, enough boolean")
+    cases, mean, phi = F.col("cases"), F.col("expected"), F.col("dispersion")
+    if bound == "power":
+        over = 1 - distributions.normal_probability((F.pow(cases, F.lit(2 / 3)) - F.pow(mean, F.lit(2 / 3))) / F.col("scale"))
+        found = fitted.withColumn("probability", over)
+    else:
+        size, p = mean / (phi - 1), F.lit(1 - alpha)
+        high = F.when(phi > 1, distributions.negative_binomial_quantile(p, size, mean)).otherwise(distributions.poisson_quantile(p, mean))
+        below = F.when(phi > 1, distributions.negative_binomial_probability(cases - 1, size, mean)).otherwise(distributions.poisson_probability(cases - 1, mean))
+        found = fitted.withColumns({"upper": high.cast("double"), "probability": 1 - below})
+    score = F.when(F.col("upper") > mean, (cases - mean) / (F.col("upper") - mean)).otherwise(0.0)
+    return found.withColumn("score", score).withColumn("alarm", F.col("enough") & (F.col("score") > 1)).drop("scale", "enough")
 
 
 def _log_marginal(c: np.ndarray, b: np.ndarray, shape: float, rate: np.ndarray | float) -> np.ndarray:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resistrum.functions import distributions, payload
-from resistrum.operators import metrics
+from resistrum.functions import clinical, distributions, payload
+from resistrum.operators import cohort, detection, metrics, screening, susceptibility
 from resistrum.plans.analysis import query
 from resistrum.plans.scanning import e6
 from resistrum.sources import adapters
+from resistrum.sources.shared import written
 
 #: Names of organisms and agents for the brands and types of parts, the same in both dialects.
 _NAMED = """CASE organism WHEN 'Brand#11' THEN 'Escherichia coli' WHEN 'Brand#12' THEN 'Klebsiella pneumoniae' WHEN 'Brand#13' THEN 'Staphylococcus aureus' WHEN 'Brand#21' THEN 'Enterococcus faecium'
@@ -57,14 +58,14 @@ FROM w""")
 def metric_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of the catalogue, at all scopes."""
     ast = adapters.ast(spark, sf_dir)
-    t = spark.sql(_TESTED, ast=ast)
+    t = written(spark.sql(_TESTED, ast=ast), "tested")  # every answer is made of it
     none = F.lit(None).cast("map<string,bigint>")
     plain = spark.sql(_ANSWERS.format(t="{t}"), t=t).withColumn("buckets", none)
     for kind, c in (("organism_distribution", "organism"), ("specimen_distribution", "specimen")):
         counts = t.groupBy("site", "year", c).agg(F.count("*").alias("n")).groupBy("site", "year").agg(F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias("buckets"))
         plain = plain.unionByName(counts.select("site", F.lit(kind).alias("query_type"), *[F.lit("").alias(x) for x in ("agent", "organism", "specimen")], "year", *[F.lit(0).alias(x) for x in ("denominator", "numerator", "total")], "buckets"))
     answers = plain.withColumns({"ok": F.lit(True), "received_at": F.make_date("year", F.lit(12), F.lit(31)).cast("timestamp")})
-    sites = spark.sql(_site_sql("{ast}", "CASE WHEN site % 3 = 0 THEN TIMESTAMP '2026-01-01 11:57:00' ELSE TIMESTAMP '2026-01-01 11:50:00' END"), ast=ast)
+    sites = spark.sql(_site_sql("{ast}", "CASE WHEN site % 3 = 0 THEN TIMESTAMP '2026-01-01 11:57:00' ELSE TIMESTAMP '2026-01-01 11:50:00' END"), ast=t)
     return metrics.measured(answers, sites, metrics.catalogue(spark), "2026-01-01 12:00:00")
 
 
@@ -112,3 +113,62 @@ def count_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "poisson": distributions.poisson_probability(k, mean), "binomial": distributions.negative_binomial_probability(k, size, mean), "poisson_bound": distributions.poisson_quantile(F.lit(0.975), mean), "binomial_bound": distributions.negative_binomial_quantile(F.lit(0.995), size, mean),
     })
     return found.select("location", "signal", "k", e6("poisson"), e6("binomial"), "poisson_bound", "binomial_bound")
+
+
+#: Names for brands, types and priorities that the lists of indicators and contaminants know; the same in both dialects.
+_SPECIES = {
+    "Brand#1": "Escherichia coli", "Brand#2": "Klebsiella pneumoniae", "Brand#3": "S. aureus (MSSA?)", "Brand#4": "Enterococcus faecium", "Brand#5": "Pseudomonas aeruginosa", "Brand#6": "Acinetobacter baumannii", "Brand#7": "Streptococcus pneumoniae",
+    "Brand#8": "Staphylococcus epidermidis", "Brand#9": "Bacillus cereus", "Brand#10": "Bacillus anthracis", "Brand#11": "Serratia marcescens", "Brand#12": "Micrococcus luteus", "Brand#13": "CORYNEBACTERIUM striatum",
+}
+_CODES = {"ECONOMY": "MEM", "STANDARD": "CRO", "SMALL": "CIP", "MEDIUM": "VAN", "LARGE": "OXA", "PROMO": "PEN"}
+
+
+def _case(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in names.items())} ELSE {column} END"
+
+
+_CODED = f"SELECT concat(CAST(order_key AS {{text}}), '-', organism) AS isolate_id, {_case('organism', _SPECIES)} AS organism, {_case('agent', _CODES)} AS agent, CASE WHEN specimen LIKE '1%' THEN 'Whole BLOOD' ELSE specimen END AS specimen, result FROM {{ast}}"
+
+
+@query(f"""WITH d AS ({_CODED.format(ast="v_ast", text="VARCHAR")}), i(label, tokens, agents, positive) AS (VALUES {", ".join(f"('{x.label}', {list(x.organisms)}, {list(x.agents)}, {list(x.positive)})" for x in susceptibility.INDICATORS)}),
+m AS (SELECT label, isolate_id, bool_or(list_contains(positive, result)) AS hit FROM d JOIN i ON list_contains(agents, agent) AND len(list_filter(tokens, lambda t: contains(lower(organism), t))) > 0 WHERE result IS NOT NULL GROUP BY ALL)
+SELECT label, count(*) AS denominator, count(*) FILTER (hit) AS numerator, 100.0::DOUBLE * count(*) FILTER (hit) / count(*) AS pct FROM m GROUP BY label""")
+def named_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priority indicators themselves, on organisms and agents that they know."""
+    return susceptibility.indicators(spark.sql(_CODED.format(ast="{ast}", text="STRING"), ast=adapters.ast(spark, sf_dir)))
+
+
+@query(f"""WITH d AS ({_CODED.format(ast="v_ast", text="VARCHAR")}) SELECT DISTINCT isolate_id, organism FROM d WHERE contains(lower(specimen), 'blood') AND NOT contains(lower(organism), 'bacillus anthracis')
+AND ({" OR ".join(f"contains(lower(organism), '{t}')" for t in screening.CONTAMINANTS)})""")
+def named_contaminants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.sql(_CODED.format(ast="{ast}", text="STRING"), ast=adapters.ast(spark, sf_dir))
+    return d.where(screening.blood_contaminant("specimen", "organism")).select("isolate_id", "organism").distinct()
+
+
+@query("""WITH c AS (SELECT isolate_id, site, patient, organism, specimen, specimen_date FROM v_isolate UNION ALL SELECT isolate_id + 1000000000, site, CASE WHEN isolate_id % 15 = 0 THEN NULL ELSE patient END, organism, specimen, specimen_date + CAST(isolate_id % 2 AS INT) FROM v_isolate WHERE isolate_id % 5 = 0),
+k AS (SELECT *, min(isolate_id) OVER (PARTITION BY site, patient, organism, specimen, specimen_date) AS duplicate_of FROM c WHERE patient IS NOT NULL AND site IS NOT NULL AND specimen IS NOT NULL AND specimen_date IS NOT NULL)
+SELECT isolate_id, organism, duplicate_of FROM k WHERE duplicate_of <> isolate_id""")
+def resent_isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates among isolates of which every fifth came again, some a day later or without its patient."""
+    d = adapters.isolates(spark, sf_dir).select("isolate_id", "site", "patient", "organism", "specimen", "specimen_date")
+    k = F.col("isolate_id")
+    again = d.where(k % 5 == 0).withColumns({"isolate_id": k + 1_000_000_000, "patient": F.when(k % 15 != 0, F.col("patient")), "specimen_date": F.date_add("specimen_date", (k % 2).cast("int"))})
+    return cohort.duplicates(d.union(again.select(d.columns))).select("isolate_id", "organism", "duplicate_of")
+
+
+_WRITTEN = "concat(text, CASE turn % 6 WHEN 0 THEN ' call +91 98765-43210' WHEN 1 THEN ' on 2026-01-12 12:30' WHEN 2 THEN ' to a.b@example.org' WHEN 3 THEN ' no 123456789' WHEN 4 THEN ' (0123) 456 7890' ELSE ' 12345678901234567' END)"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {_WRITTEN} AS text FROM conversations), j AS (SELECT *, regexp_replace(regexp_replace(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}', 'DATE', 'g'), '[ .()-]', '', 'g') AS joined FROM c)
+SELECT conv_id, turn FROM j WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}') OR regexp_matches(text, '(?:^|\\D)\\d{{10,15}}(?:\\D|$)') OR regexp_matches(joined, '(?:^|\\D)\\d{{10,15}}(?:\\D|$)')""")
+def written_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that hold an identifier, among turns to which identifiers and harmless numbers were added."""
+    return adapters.table(spark, sf_dir, "conversations").withColumn("text", F.expr(_WRITTEN)).where(clinical.holds_identifier(F.col("text"))).select("conv_id", "turn")
+
+
+@query()
+def farrington_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly regression with the bound of a negative binomial count."""
+    e = adapters.ast(spark, sf_dir).select(F.col("organism").alias("signal"), F.lit("all").alias("location"), F.col("specimen_date").alias("day"))
+    weeks = detection.periods(detection.daily(e).where("location = 'all'"))
+    return detection.farrington(weeks.withColumnRenamed("period_end", "day"), bound="negative-binomial")

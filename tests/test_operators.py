@@ -116,9 +116,68 @@ def test_farrington_drops_a_trend_that_tells_nothing():
     own = pd.DataFrame({"location": "A", "signal": "s", "day": [day(7 * k) for k in range(313)], "cases": [8 + (k * 7) % 5 for k in range(313)]})
     got = detection._farrington(own, 5, 3, 52, 2.576).iloc[-1]
     ref = [own["cases"][312 - 52 * b + d] for b in range(1, 6) for d in range(-3, 4)]
-    _, cov, phi = detection._reweighted(np.ones((35, 1)), np.array(ref, dtype=float))
-    b = detection._reweighted(np.ones((35, 1)), np.array(ref, dtype=float))[0]
-    assert got.expected == pytest.approx(float(np.exp(b[0])), rel=1e-9)
+    b, _, _ = written_out(np.ones((35, 1)), np.array(ref, dtype=float))
+    assert not got.trend and got.expected == pytest.approx(float(np.exp(b[0])), rel=1e-7)
+
+
+def one_fit(x, y, w):
+    """A weighted log-linear Poisson fit by matrices: coefficients, covariance without dispersion, means, dispersion."""
+    mu = y + 0.1
+    for _ in range(100):
+        k, z = w * mu, np.log(mu) + (y - mu) / mu
+        b = np.linalg.solve((x.T * k) @ x, (x.T * k) @ z)
+        mu = np.exp(x @ b)
+    cov = np.linalg.inv((x.T * (w * mu)) @ x)
+    return b, cov, mu, (w * (y - mu) ** 2 / mu).sum() / (len(y) - x.shape[1])
+
+
+def written_out(x, y):
+    """The reweighted fit: coefficients, covariance, dispersion."""
+    w = np.ones(len(y))
+    _, cov, mu, phi = one_fit(x, y, w)
+    hat = mu * np.einsum("ij,jk,ik->i", x, cov, x)
+    r = 1.5 * (y ** (2 / 3) * mu ** (-1 / 6) - np.sqrt(mu)) / np.sqrt(max(phi, 1) * (1 - hat))
+    w = np.array([v**-2 if v > 1 else 1.0 for v in r])
+    b, cov, _, phi = one_fit(x, y, w * len(w) / w.sum())
+    return b, cov, phi
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_farrington_numbers_are_those_of_single_fits(spark, seed):
+    rng = np.random.default_rng(seed)
+    mean = 6 * np.exp(0.004 * np.arange(330) * (seed != 1)) * (1 + 0.5 * np.sin(np.arange(330) / 52 * 2 * np.pi))
+    cases = rng.negative_binomial(8, 8 / (8 + mean))
+    own = pd.DataFrame({"location": "A", "signal": "s", "day": [day(7 * k) for k in range(330)], "cases": cases})
+    got = detection._farrington(own, 5, 3, 52, 2.5758293035489004)
+    assert len(got) == 330 - 52 and set(got["trend"]) == ({True, False} if seed != 1 else set(got["trend"])) and got["n_references"].max() == 35
+    for t in (52, 60, 200, 290, 329):
+        ref = [k for back in range(5, 0, -1) for k in range(t - 52 * back - 3, t - 52 * back + 4) if k >= 0]
+        y, x = cases[ref].astype(float), np.column_stack([np.ones(len(ref)), (np.array(ref) - t) / 52])
+        b, cov, phi = written_out(x, y)
+        p = detection._two_sided(b[1] / np.sqrt(phi * cov[1, 1]), len(ref) - 2)
+        trend = p < 0.05 and np.exp(b[0]) <= y.max()
+        b, cov, phi = (b, cov, phi) if trend else written_out(x[:, :1], y)
+        mu, phi = np.exp(b[0]), max(phi, 1)
+        row = got.loc[t]
+        assert row["trend"] == trend and row["n_references"] == len(ref) and row["expected"] == pytest.approx(mu, rel=1e-7) and row["dispersion"] == pytest.approx(phi, rel=1e-6)
+        assert row["upper"] == pytest.approx((mu ** (2 / 3) + 2.5758293035489004 * np.sqrt(4 / 9 * mu ** (1 / 3) * (phi + phi * cov[0, 0] * mu))) ** 1.5, rel=1e-6)
+
+
+def test_farrington_with_a_bound_of_counts(spark):
+    rng = np.random.default_rng(7)
+    rows = [("A", "s", day(7 * k), int(c)) for k, c in enumerate(rng.negative_binomial(4, 0.3, 300))] + [("B", "s", day(7 * k), int(k % 20 == 0)) for k in range(300)] + [("C", "s", day(7 * k), int(k == 3)) for k in range(300)]
+    d = spark.createDataFrame(rows, "location string, signal string, day date, cases long")
+    got = {(r.location, r.day): r for r in detection.farrington(d, bound="negative-binomial").collect()}
+    assert {k[0] for k in got} == {"A", "B"} and not any(r.alarm for k, r in got.items() if k[0] == "B")
+
+    def below(k, size, mean):
+        return sum(math.exp(math.lgamma(i + size) - math.lgamma(size) - math.lgamma(i + 1) + size * math.log(size / (size + mean)) + i * math.log(mean / (size + mean))) for i in range(int(k) + 1))
+
+    r = got["A", day(7 * 299)]
+    size = r.expected / (r.dispersion - 1)
+    assert below(r.upper, size, r.expected) >= 0.995 > below(r.upper - 1, size, r.expected) and r.probability == pytest.approx(1 - below(r.cases - 1, size, r.expected), abs=1e-9)
+    power = {(r.location, r.day): r for r in detection.farrington(d).collect()}["A", day(7 * 299)]
+    assert power.expected == r.expected and 0 <= power.probability <= 1
 
 
 def test_farrington_alarms_counts_weeks_without_cases(spark, monkeypatch):
@@ -126,7 +185,7 @@ def test_farrington_alarms_counts_weeks_without_cases(spark, monkeypatch):
     rows = [(7 * k) for k in range(0, 312, 4)] + [7 * 312] * 8
     e = spark.createDataFrame([("org", day(n)) for n in rows], "organism string, specimen_date date")
     monkeypatch.setattr(analysis.adapters, "ast", lambda *_: e)
-    got = analysis.farrington_alarms(spark, "").collect()
+    got = analysis.farrington_alarms(spark, "").where("alarm").collect()
     assert [(r.location, r.cases, r.alarm) for r in got] == [("all", 8, True)] and got[0].expected < 1
 
 
