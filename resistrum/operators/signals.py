@@ -25,21 +25,21 @@ def _weeks(rows: DataFrame, begin: str, end: str) -> DataFrame:
     return rows.where(F.col(begin) <= F.col(end)).withColumn("_week", F.explode(F.sequence(at(begin), at(end))))
 
 
-def matched(signals: DataFrame, outbreaks: DataFrame) -> DataFrame:
-    """(signal_id, outbreak_id, localised, overlap_days, jaccard) of signals (signal_id, organism, location, begin, end) and seeded outbreaks that share organism, place and days.
+def matched(signals: DataFrame, outbreaks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, signal_id, outbreak_id, localised, overlap_days, jaccard) of signals (signal_id, organism, location, begin, end) and seeded outbreaks that share keys, organism, place and days.
 
     An outbreak (outbreak_id, organism, organism_code, ward, begin, end) is known by name or code, whatever the case. A signal of
     all locations matches everywhere, an outbreak of all wards is matched by any signal. Rows without name or day match nothing.
     """
-    s = signals.select("signal_id", _name("organism").alias("_organism"), _name("location").alias("_at"), F.col("begin").alias("_b"), F.col("end").alias("_e")).where("_organism <> ''")
+    s = signals.select(*keys, "signal_id", _name("organism").alias("_organism"), _name("location").alias("_at"), F.col("begin").alias("_b"), F.col("end").alias("_e")).where("_organism <> ''")
     names = F.array_distinct(F.filter(F.array(_name("organism"), _name("organism_code")), lambda x: x.isNotNull()))
-    o = outbreaks.select("outbreak_id", F.explode(names).alias("_organism"), _name("ward").alias("_ward"), "begin", "end")
-    met = _weeks(s, "_b", "_e").join(_weeks(o, "begin", "end"), ["_organism", "_week"]).where("_b <= end AND begin <= _e")
+    o = outbreaks.select(*keys, "outbreak_id", F.explode(names).alias("_organism"), _name("ward").alias("_ward"), "begin", "end")
+    met = _weeks(s, "_b", "_e").join(_weeks(o, "begin", "end"), [*keys, "_organism", "_week"]).where("_b <= end AND begin <= _e")
     pooled, anywhere, here = F.coalesce(F.col("_at") == EVERYWHERE.upper(), F.lit(False)), F.coalesce(F.col("_ward") == "ALL WARDS", F.lit(False)), F.coalesce(F.col("_at") == F.col("_ward"), F.lit(False))
     overlap = F.datediff(F.least("_e", "end"), F.greatest("_b", "begin")) + 1
     union = F.datediff(F.greatest("_e", "end"), F.least("_b", "begin")) + 1
     good = met.where(pooled | anywhere | here)
-    return good.select("signal_id", "outbreak_id", (here | (anywhere & pooled)).alias("localised"), overlap.cast("long").alias("overlap_days"), (overlap / union).alias("jaccard")).distinct()
+    return good.select(*keys, "signal_id", "outbreak_id", (here | (anywhere & pooled)).alias("localised"), overlap.cast("long").alias("overlap_days"), (overlap / union).alias("jaccard")).distinct()
 
 
 def unmatched(signals: DataFrame, outbreaks: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def plausibility(signals: DataFrame, cases: DataFrame, window_days: int = 14) ->
     lasts from admission to specimen, or window_days around the specimen if no admission before it is known. Equal stays are counted
     before they are put in order, so that an order is as long as a signal's days at most.
     """
-    s = signals.select("signal_id", _name("organism").alias("_organism"), F.coalesce(_name("agent"), F.lit("")).alias("_agent"), F.col("location").alias("_at"), "begin", "end")
+    s = signals.select(*keys, "signal_id", _name("organism").alias("_organism"), F.coalesce(_name("agent"), F.lit("")).alias("_agent"), F.col("location").alias("_at"), "begin", "end")
     c = cases.select(_name("organism").alias("_organism"), F.coalesce(_name("agent"), F.lit("")).alias("_agent"), "location", "specimen_date", "admission_date").withColumn("_week", F.expr("unix_date(specimen_date) div 7"))
     met = _weeks(s, "begin", "end").join(c, ["_organism", "_agent", "_week"]).where((F.col("specimen_date").between(F.col("begin"), F.col("end"))) & ((F.col("_at") == EVERYWHERE) | (F.col("_at") == F.col("location"))))
     known = F.coalesce(F.col("admission_date") <= F.col("specimen_date"), F.lit(False))

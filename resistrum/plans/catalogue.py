@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resistrum.functions import clinical, distributions, payload
-from resistrum.operators import cohort, detection, metrics, screening, susceptibility
+from resistrum.operators import cohort, detection, metrics, places, screening, susceptibility
 from resistrum.plans.analysis import query
 from resistrum.plans.scanning import e6
 from resistrum.sources import adapters
@@ -172,3 +172,38 @@ def farrington_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.ast(spark, sf_dir).select(F.col("organism").alias("signal"), F.lit("all").alias("location"), F.col("specimen_date").alias("day"))
     weeks = detection.periods(detection.daily(e).where("location = 'all'"))
     return detection.farrington(weeks.withColumnRenamed("period_end", "day"), bound="negative-binomial")
+
+
+#: Countries, units, postal codes, localities and addresses drawn from the star schema, the same in both dialects.
+_PLACES = {
+    "postal": "SELECT concat('C', CAST(n_nationkey % 5 AS {text})) AS country, concat('AB', CAST(s_suppkey % 37 AS {text})) AS code, s_name AS place, CAST(s_suppkey % 180 - 90 AS DOUBLE) AS latitude, CAST(s_suppkey AS DOUBLE) AS longitude, s_suppkey AS position FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE n_nationkey % 5 < 3",
+    "localities": "SELECT DISTINCT concat('C', CAST(p_partkey % 4 AS {text})) AS country, concat(p_brand, ' ', p_type) AS place, CAST(p_size AS DOUBLE) AS latitude, CAST(p_partkey % 50 AS DOUBLE) AS longitude, p_partkey AS population FROM {part}",
+    "subdivisions": "SELECT concat('C', CAST(n_nationkey % 5 AS {text})) AS country, n_name AS code, CAST(n_nationkey AS DOUBLE) AS latitude, 1.5E0 AS longitude FROM {nation} WHERE n_nationkey % 2 = 0",
+    "countries": "SELECT concat('C', CAST(r_regionkey AS {text})) AS country, CAST(r_regionkey AS DOUBLE) AS latitude, 9.5E0 AS longitude FROM {region} WHERE r_regionkey <> 2",
+    "addresses": """SELECT c_custkey AS address_id, concat('C', CAST(c_custkey % 7 AS {text})) AS country, CASE c_custkey % 3 WHEN 0 THEN concat(' ab-', CAST(c_custkey % 60 AS {text}), 'x 9') WHEN 1 THEN 'zz9' END AS postal_code,
+CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(' BRAND#', CAST(c_custkey % 30 AS {text})) WHEN 2 THEN 'nomy' WHEN 3 THEN 'o' ELSE 'nowhere' END AS locality, CASE WHEN c_custkey % 11 < 5 THEN concat(' nation_', CAST(c_nationkey AS {text})) END AS subdivision FROM {customer}""",
+}
+_TABLES = ("supplier", "nation", "part", "region", "customer")
+
+
+@query(f"""WITH {", ".join(f"{n} AS ({q.format(text='VARCHAR', **{t: t for t in _TABLES})})" for n, q in _PLACES.items())},
+a AS (SELECT *, regexp_replace(upper(trim(coalesce(postal_code, ''))), '[\\s./-]', '', 'g') AS c, lower(trim(locality)) AS l FROM addresses),
+k AS (SELECT address_id, a.country, arg_max(code, length(code)) AS code FROM a JOIN (SELECT DISTINCT country, code FROM postal) p ON a.country = p.country AND length(code) >= 2 AND starts_with(c, code) GROUP BY ALL),
+pc AS (SELECT address_id, arg_min(latitude, position) AS la, arg_min(longitude, position) AS lo, count(*) AS n FROM k JOIN postal USING (country, code) GROUP BY ALL),
+m AS (SELECT address_id, place, latitude, longitude, population, CASE WHEN lower(place) = l THEN 0 WHEN starts_with(lower(place), l) THEN 1 ELSE 2 END AS rank FROM a JOIN localities USING (country) WHERE length(l) >= 2 AND contains(lower(place), l) AND address_id NOT IN (SELECT address_id FROM pc)),
+nm AS (SELECT address_id, arg_min(latitude, (rank, -population, place)) AS la, arg_min(longitude, (rank, -population, place)) AS lo, least(count(*), 12) AS n FROM m GROUP BY ALL),
+j AS (SELECT a.*, pc.la AS pla, pc.lo AS plo, pc.n AS pn, nm.la AS nla, nm.lo AS nlo, nm.n AS nn, s.latitude AS sla, s.longitude AS slo, y.latitude AS cla, y.longitude AS clo FROM a LEFT JOIN pc USING (address_id) LEFT JOIN nm USING (address_id) LEFT JOIN subdivisions s ON s.country = a.country AND upper(s.code) = upper(trim(subdivision)) LEFT JOIN countries y ON y.country = a.country)
+SELECT address_id, coalesce(pla, nla, sla, cla) AS latitude, CASE WHEN pla IS NOT NULL THEN plo WHEN nla IS NOT NULL THEN nlo WHEN sla IS NOT NULL THEN slo ELSE clo END AS longitude, CASE WHEN pla IS NOT NULL THEN 'postal_area' WHEN nla IS NOT NULL THEN 'locality' WHEN sla IS NOT NULL THEN 'subdivision' WHEN cla IS NOT NULL THEN 'country' END AS precision,
+       coalesce(pn, nn, 0) AS n_candidates, coalesce(trim(postal_code), '') <> '' AND country IN (SELECT country FROM postal) AND pla IS NULL AS postal_code_unknown, country IN ('C0', 'C1', 'C2', 'C3', 'C4') AS available FROM j""")
+def resolved_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {t: adapters.table(spark, sf_dir, t) for t in _TABLES}
+    made = {n: spark.sql(q.format(text="STRING", **{t: "{" + t + "}" for t in _TABLES}), **{t: d for t, d in tables.items() if "{" + t + "}" in q}) for n, q in _PLACES.items()}
+    return places.resolved(made["addresses"], made["postal"], made["localities"], made["subdivisions"], made["countries"])
+
+
+@query("SELECT 'C' AS country, r_regionkey AS code, 1 AS level, 'C/' || r_regionkey AS admin_path FROM region UNION ALL SELECT 'C', n_nationkey, 2, 'C/' || n_regionkey || '/' || n_nationkey FROM nation UNION ALL SELECT 'C', s_suppkey, 3, 'C/' || n_regionkey || '/' || s_nationkey || '/' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def unit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, supplier = (adapters.table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    unit = lambda d, level, code, parent, name: d.select(F.lit("C").alias("country"), F.lit(level).alias("level"), F.col(code).cast("string").alias("code"), (F.col(parent).cast("string") if parent else F.lit(None).cast("string")).alias("parent_code"), F.col(name).alias("name"))
+    units = unit(region, 1, "r_regionkey", None, "r_name").union(unit(nation, 2, "n_nationkey", "n_regionkey", "n_name")).union(unit(supplier, 3, "s_suppkey", "s_nationkey", "s_name"))
+    return places.with_paths(units).select("country", F.col("code").cast("long").alias("code"), "level", "admin_path")

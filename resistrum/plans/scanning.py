@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resistrum.operators import detection, scans, signals
+from resistrum.operators import benchmarking, detection, scans, signals
 from resistrum.plans.analysis import query
 from resistrum.sources import adapters
 
@@ -285,3 +285,26 @@ def phenotype_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = resistant.select("organism", "agent", "location", F.col("day").alias("specimen_date"), F.lit(None).cast("date").alias("admission_date"))
     span = e.agg((F.datediff(F.max("day"), F.min("day")) + 1).alias("n")).first().n or 0
     return signals.evaluated(every, cases, 2, 1.0, span / 365.25, 999).orderBy(*signals.banded_order()).limit(50)
+
+
+@query(f"""WITH {_TRUTH_SQL}, sc AS (SELECT *, signal_id % 4 AS cell FROM s), oc AS (SELECT *, cell FROM o, (SELECT unnest(range(4)) AS cell)),
+m AS (SELECT sc.cell, signal_id, outbreak_id, upper(sc.location) = upper(trim(ward)) OR (sc.location = 'All locations' AND ward = 'All wards') AS localised, (least(oc."end", sc."end") - greatest(oc.begin, sc.begin) + 1)::DOUBLE / (greatest(oc."end", sc."end") - least(oc.begin, sc.begin) + 1) AS jaccard
+  FROM sc JOIN oc ON sc.cell = oc.cell AND (upper(trim(sc.organism)) = upper(trim(oc.organism)) OR upper(trim(sc.organism)) = upper(trim(organism_code))) AND sc.begin <= oc."end" AND oc.begin <= sc."end" WHERE sc.location = 'All locations' OR ward = 'All wards' OR upper(sc.location) = upper(trim(ward))),
+a AS (SELECT (SELECT count(*) FROM oc) AS presented, (SELECT count(*) FROM (SELECT DISTINCT cell, outbreak_id FROM m)) AS detected, (SELECT count(*) FROM sc) AS alerted, (SELECT count(*) FROM (SELECT DISTINCT cell, signal_id FROM m)) AS matched, count(*) FILTER (localised) AS localised, count(*) AS matches, median(jaccard) AS temporal FROM m)
+SELECT presented, detected, alerted, alerted - matched AS false_alerts, floor(detected / presented * 1e6 + 0.5)::BIGINT AS sensitivity_e6, floor(matched / alerted * 1e6 + 0.5)::BIGINT AS predictive_value_e6, floor(localised / matches * 1e6 + 0.5)::BIGINT AS spatial_accuracy_e6, floor(temporal * 1e6 + 0.5)::BIGINT AS temporal_accuracy_e6 FROM a""")
+def detector_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What signals are worth against seeded outbreaks that stand in each of four cells."""
+    found, truth = _truth(spark, sf_dir)
+    cells = truth.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    rows = benchmarking.outcomes(found.withColumn("cell", (F.col("signal_id") % 4).cast("long")), cells, "cell")
+    out = benchmarking.endpoints(rows)
+    return out.select("presented", "detected", "alerted", "false_alerts", *[e6(c) for c in ("sensitivity", "predictive_value", "spatial_accuracy", "temporal_accuracy")])
+
+
+@query()
+def detection_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How soon a scan of proportions, run every second day, would have found each location's days of most cases."""
+    cells = _cells(spark, sf_dir)
+    worst = cells.groupBy("signal", "location").agg(F.max_by("day", F.struct("cases", "day")).alias("begin"))
+    outbreaks = worst.select(F.concat_ws("/", "signal", "location").alias("outbreak_id"), F.col("signal").alias("organism"), F.col("signal").alias("organism_code"), F.col("location").alias("ward"), "begin", F.date_add("begin", 9).alias("end"))
+    return benchmarking.delays(benchmarking.bernoulli_at_cuts(cells, "signal", least_tested=3), outbreaks, threshold=0.5, stride=2)
