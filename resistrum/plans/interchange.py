@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from resistrum.operators import ingest
 from resistrum.plans.analysis import query
-from resistrum.sources import adapters, hl7
+from resistrum.sources import adapters, delimited, hl7
 from resistrum.sources.shared import shared_path
 
 
@@ -74,3 +74,23 @@ def filed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     records = ingest.filed(reports).where("newest").select("specimen_number", F.col("record").cast("long").alias("record"), "organism", F.explode("results").alias("agent", "e"))
     return records.select("specimen_number", "record", "organism", "agent", "e.result")
+
+
+#: What the files hold: some days and results that can't be read, some patients missing, and a state for some rows.
+_FILED = """SELECT concat(CAST(order_key AS {text}), '/', CAST(line AS {text})) AS k, CASE WHEN order_key % 9 = 0 THEN '' ELSE concat('P', CAST(patient AS {text})) END AS p, organism AS o, specimen AS s, CASE WHEN order_key % 7 = 0 THEN 'soon' ELSE CAST(specimen_date AS {text}) END AS d,
+concat(location, ', "', location_type, '"') AS w, CASE WHEN line % 4 = 0 THEN 'weak' WHEN line % 4 = 1 THEN 'resistant' ELSE result END AS r, CASE WHEN line % 3 = 0 THEN '' ELSE CAST(CAST(measurement AS INT) AS {text}) END AS m, CASE line % 6 WHEN 0 THEN 'Draft' WHEN 1 THEN 'odd' ELSE '' END AS t FROM {ast} WHERE result IS NOT NULL"""
+
+
+@query(f"""WITH f AS (SELECT *, CASE r WHEN 'weak' THEN '' WHEN 'resistant' THEN 'R' ELSE r END AS result FROM ({_FILED.format(ast="v_ast", text="VARCHAR")})),
+i AS (SELECT *, (CASE WHEN d = 'soon' THEN 1 ELSE 0 END) + (CASE WHEN r = 'weak' THEN 1 ELSE 0 END) + (CASE WHEN t = 'odd' THEN 1 ELSE 0 END) AS bad, (CASE WHEN p = '' THEN 1 ELSE 0 END) + (CASE WHEN d = 'soon' THEN 1 ELSE 0 END) + (CASE WHEN result = '' AND m = '' THEN 1 ELSE 0 END) AS lacks FROM f)
+SELECT k AS specimen_number, p AS patient_id, o AS organism, CASE WHEN d = 'soon' THEN '' ELSE d END AS specimen_date, w AS location, CASE WHEN result <> '' OR m <> '' THEN result END AS result, CASE WHEN result <> '' OR m <> '' THEN m END AS measurement, CASE WHEN lacks = 0 AND t <> 'Draft' THEN 'final' ELSE 'draft' END AS record_status, bad + lacks AS n_issues FROM i""")
+def delimited_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results as rows of files with a site's own headers, read back as isolates."""
+    rows = spark.sql(_FILED.format(ast="{ast}", text="STRING"), ast=adapters.ast(spark, sf_dir))
+    path = shared_path(spark, "csv")
+    named = rows.toDF("Accession No.", "Patient No", "Organism Name", "Sample type", "Date Collected", "Ward/Clinic", "MEM_sir", "MEM MIC", "State of row")
+    named.write.csv(path, header=True, escape='"', emptyValue="")
+    headers, cells = delimited.read_table(spark, path)
+    found = delimited.preview(headers, cells, "LAB-1", {"Accession No.": "specimen_number", "State of row": "record_status"})
+    entry = F.try_element_at("results", F.lit("MEM"))
+    return found.select("specimen_number", "patient_id", "organism", "specimen_date", "location", entry["result"].alias("result"), entry["measurement"].alias("measurement"), "record_status", F.size("issues").cast("long").alias("n_issues"))
