@@ -68,8 +68,7 @@ def walked(payloads: DataFrame, key: str, payload: str, stop: Column | None = No
         if open_.isEmpty():
             return every.drop("_json").withColumnRenamed("_id", key)
         parent = open_.select("_id", "path", "kind", F.parse_json("_json").alias("value")).withColumn("_system", system)
-        parent.createOrReplaceTempView("_walked_nodes")
-        child = parent.sparkSession.sql("SELECT p._id, p.path AS above, p.kind AS around, p._system AS system, c.pos, c.key AS name, c.value FROM _walked_nodes AS p, LATERAL variant_explode(p.value) AS c")
+        child = parent.sparkSession.sql("SELECT p._id, p.path AS above, p.kind AS around, p._system AS system, c.pos, c.key AS name, c.value FROM {parent} AS p, LATERAL variant_explode(p.value) AS c", parent=parent)
         path = F.when(F.col("around") == "object", F.concat("above", F.lit("."), "name")).otherwise(F.concat("above", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         level = child.select("_id", path.alias("path"), F.when(F.col("around") == "object", F.col("name")).alias("name"), F.when(F.col("around") == "array", F.col("pos")).alias("place"), F.when(F.col("around") == "object", F.col("system")).otherwise("").alias("system"), "value", kind.alias("kind"))
 

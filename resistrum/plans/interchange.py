@@ -83,7 +83,7 @@ concat(location, ', "', location_type, '"') AS w, CASE WHEN line % 4 = 0 THEN 'w
 
 @query(f"""WITH f AS (SELECT *, CASE r WHEN 'weak' THEN '' WHEN 'resistant' THEN 'R' ELSE r END AS result FROM ({_FILED.format(ast="v_ast", text="VARCHAR")})),
 i AS (SELECT *, (CASE WHEN d = 'soon' THEN 1 ELSE 0 END) + (CASE WHEN r = 'weak' THEN 1 ELSE 0 END) + (CASE WHEN t = 'odd' THEN 1 ELSE 0 END) AS bad, (CASE WHEN p = '' THEN 1 ELSE 0 END) + (CASE WHEN d = 'soon' THEN 1 ELSE 0 END) + (CASE WHEN result = '' AND m = '' THEN 1 ELSE 0 END) AS lacks FROM f)
-SELECT k AS specimen_number, p AS patient_id, o AS organism, CASE WHEN d = 'soon' THEN '' ELSE d END AS specimen_date, w AS location, CASE WHEN result <> '' OR m <> '' THEN result END AS result, CASE WHEN result <> '' OR m <> '' THEN m END AS measurement, CASE WHEN lacks = 0 AND t <> 'Draft' THEN 'final' ELSE 'draft' END AS record_status, bad + lacks AS n_issues FROM i""")
+SELECT k AS specimen_number, p AS patient_id, o AS organism, CASE WHEN d = 'soon' THEN '' ELSE d END AS specimen_date, w AS location, CASE WHEN result <> '' OR m <> '' THEN result END AS result, CASE WHEN result <> '' OR m <> '' THEN m END AS measurement, CASE WHEN lacks = 0 AND t <> 'Draft' THEN 'final' ELSE 'draft' END AS record_status, (bad + lacks)::BIGINT AS n_issues FROM i""")
 def delimited_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All results as rows of files with a site's own headers, read back as isolates."""
     rows = spark.sql(_FILED.format(ast="{ast}", text="STRING"), ast=adapters.ast(spark, sf_dir))
