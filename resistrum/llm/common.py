@@ -97,6 +97,13 @@ def dealt_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, co
     return left.join(right, [*keys, "_part"], how).drop("_part")
 
 
+def narrow_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """dealt_join with a small table (written) of a few numbers a row, which is broadcast if it has at most BROADCAST_ROWS rows."""
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, how)
+    return dealt_join(big, small, keys, by, counts, how)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with its rows' places 0, 1, ... in a global order, sorted and counted by partition.
 

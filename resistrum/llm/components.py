@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resistrum.llm.common import dealt_join, dropped, written
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a > b) after one step: every neighbour above (large) or at most (small) a node moves to its least neighbour."""
-    both = edges.union(edges.select("b", "a")) if large else edges
-    both = both.toDF("u", "v")
-    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n")), "least")
-    moved = dealt_join(both, least.select("u", "m"), ["u"], F.xxhash64("v"), least.select("u", "_n"))
-    if large:
-        moved = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = moved.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-    out = written(moved.where("a <> b").distinct(), "star")
-    dropped(least)
-    return out
+from resistrum.llm.common import dropped, narrow_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """A row (id, component) for each id in edges (a, b); component is the smallest id that can be reached.
+    """A row (id, component) for each id in edges (a, b), written; component is the smallest id that can be reached.
 
-    Null ids and loops are left out; an empty table gives an empty one. Every step is written to the shared folder
-    and the step before it deleted. In a forest of stars each a has one b and no b is an a; then no step changes it.
+    Null ids and loops are left out; an empty table gives an empty one. A step moves the neighbours above each id to
+    its least neighbour, then those at most as large. Its edges are written to the shared folder, and those before it
+    deleted. In a forest of stars an id above its least neighbour has no other one; then the least neighbours are the
+    components. No step has more edges than the one before.
     """
-    edges = written(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
-    while not edges.select("a", F.lit(1).alias("_a")).union(edges.select("b", F.lit(-1)).distinct()).groupBy("a").agg(F.sum(F.abs("_a")).alias("_n"), F.min("_a").alias("_low"), F.max("_a").alias("_high")).where("_low = -1 AND _high = 1 OR _low = 1 AND _n > 1").isEmpty():
-        stars = _star(edges, large=True)
-        dropped(edges)
-        edges = _star(stars, large=False)
-        dropped(stars)
-    nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return nodes.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while True:
+        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), (F.min("v") < F.max("v")).alias("_more"), F.count("*").alias("_n")), "least")
+        if least.where("m < u AND _more").isEmpty():
+            dropped(edges)
+            return least.select(F.col("u").alias("id"), F.col("m").alias("component"))
+        large = written(narrow_join(both.where("v > u"), least.select("u", "m"), ["u"], F.xxhash64("v"), least.select("u", "_n")).select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "lower")
+        moved = narrow_join(large, lower.select("u", "m"), ["u"], F.xxhash64("v"), lower.select("u", "_n")).where("v <> m").select("v", "m")
+        stars = written(moved.union(lower.select("u", "m")).toDF("a", "b").distinct(), "edges")
+        for done in (edges, least, large, lower):
+            dropped(done)
+        edges = stars

@@ -3,9 +3,9 @@
 A document's set is that of its distinct word shingles. Equal sets become one node first, so that a group of
 copies costs one row. Each node's signature has one smallest hash per bin; an empty bin copies a bin that a hash
 of its number and the attempt picks, so that two sets agree in a bin with the probability of their similarity.
-Nodes with an equal band share a bucket. In each bucket, nodes are compared with its smallest set only (a star);
-members that aren't similar to it meet again by what this hub lacks (see linked), until no bucket holds two
-components that could be one. Links are confirmed on the full sets. Pairs grow with the members of buckets.
+Nodes with an equal band share a bucket. In each bucket, nodes are compared with its smallest set (a star) and a
+bounded number outside its largest component; other members meet again by what this hub lacks (see linked), until no
+bucket holds two components that could be one. Links are confirmed on the full sets. Pairs grow with the members of buckets.
 
 The default bands find a pair of similarity 0.8 with probability 0.99994.
 
@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resistrum.llm.common import BROADCAST_ROWS, dealt_join, dropped, written
+from resistrum.llm.common import BROADCAST_ROWS, dealt_join, dropped, narrow_join, written
 from resistrum.llm.components import components
 
 BANDS, ROWS = 32, 6
 #: Texts at a time within a task, and words whose hashes a task remembers.
 SLICE, REMEMBERED = 200, 300_000
-#: Buckets of at most so many members are compared in full; in each round GROWTH times as many.
-SMALL, GROWTH = 16, 8
+#: So many members of a bucket outside its largest component are compared with all others.
+SMALL = 64
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -131,24 +131,28 @@ def common_members(x: str, y: str) -> Column:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int, n_shared: Callable[[str, str], Column] = common_members) -> DataFrame:
-    """Those pairs (hub, node, with the sizes hub_n and n) whose sets have 100 * intersection >= percent * union.
+    """Those pairs (hub, node, with the sizes hub_n and n) whose sets have 100 * intersection >= percent * union; written.
 
     sets has a row (node, set) per node; n_shared counts what two sets share. Pairs of too different sizes are not looked at.
     """
-    alike = written(pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "node", "hub_n", "n"), "pairs")
+    alike = written(pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select("hub", "node", "hub_n", "n").distinct(), "pairs")
     both = _with_sets(alike, sets).withColumn("_shared", n_shared("_x", "_y"))
-    return both.where((100 + percent) * F.col("_shared") >= percent * (F.col("n") + F.col("hub_n"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    found = written(both.where((100 + percent) * F.col("_shared") >= percent * (F.col("n") + F.col("hub_n"))).select("hub", "node"), "links")
+    dropped(alike)
+    return found
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, other: str | None = None) -> DataFrame:
     """pairs (written) with the sets _x of hub and _y of node, and _z of other, of which each hub has one."""
-    members = pairs.join(sets.select("node", F.col("set").alias("_y")), "node")
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
+    members = small(pairs).join(sets.select("node", F.col("set").alias("_y")), "node")
     counts = pairs.groupBy("hub").agg(F.count("*").alias("_n"))
-    of_hubs = sets.select(F.col("node").alias("hub"), F.col("set").alias("_x"))
+    hubs = pairs.select("hub", *([other] if other else [])).distinct()
+    of_hubs = small(hubs).join(sets.select(F.col("node").alias("hub"), F.col("set").alias("_x")), "hub")
     if other:
-        third = pairs.select("hub", other).distinct().join(sets.select(F.col("node").alias(other), F.col("set").alias("_z")), other)
-        of_hubs = of_hubs.join(third.select("hub", "_z"), "hub")
-    return dealt_join(members, of_hubs, ["hub"], F.xxhash64("node"), counts)
+        of_hubs = small(hubs).join(sets.select(F.col("node").alias(other), F.col("set").alias("_z")), other).select("hub", "_z").join(of_hubs, "hub")
+    return dealt_join(members, of_hubs.drop(*([other] if other else [])), ["hub"], F.xxhash64("node"), counts)
 
 
 def in_shared_buckets(placed: DataFrame) -> DataFrame:
@@ -164,13 +168,6 @@ def in_shared_buckets(placed: DataFrame) -> DataFrame:
     return active
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows (of nodes) with the component so far as label."""
-    if labels is None:
-        return rows.withColumn("label", F.col("node"))
-    return rows.join(labels.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def _rest(percent: int, as_set: Callable[[str], Column]) -> Column:
     """Of a node's set _y, those members that its hub's set _x lacks of which it shares one with each similar node in another component.
 
@@ -185,48 +182,68 @@ def _rest(percent: int, as_set: Callable[[str], Column]) -> Column:
     return F.transform(lacks, lambda p: F.slice(ordered(p["r"], p["z"]), F.lit(1), long(p["r"])))[0]
 
 
-def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, n_shared: Callable[[str, str], Column] = common_members) -> DataFrame | None:
-    """The components (id, component) of nodes that similar ones join, if they share a bucket; None without links.
+def _outside(members: DataFrame, label: str) -> DataFrame:
+    """For each key with several labels: its rows (_n), its most frequent label (_most), and how many rows have another (_out)."""
+    sizes = members.groupBy("key", F.col(label).alias("_label")).agg(F.count("*").alias("_c"))
+    found = sizes.groupBy("key").agg(F.sum("_c").alias("_n"), F.max(F.struct("_c", "_label")).alias("_m"))
+    return found.select("key", "_n", F.col("_m._label").alias("_most"), (F.col("_n") - F.col("_m._c")).alias("_out")).where("_out > 0")
 
-    active has a row (key, node, n) for each bucket of a node, n the size of its set. A bucket's hub is its smallest
-    set; as_set turns a row's set into an array. All members are compared with it, so that pairs grow with members. A bucket of few members (SMALL, more in
-    later rounds) that then holds several components has those compared with each other. In a larger one, two
-    members of which one isn't similar to the hub can be similar only if they share a member of their sets that the
-    hub lacks, as the hub is not larger than either. These, by hub, are the next round's buckets. No pair is lost, and
-    each round's buckets lack the hub of the one before.
-    """
-    links, few = None, SMALL
 
-    def more(found: DataFrame) -> DataFrame | None:
-        found = written(found, "links")
-        return links if found.isEmpty() else found if links is None else links.union(found)
+def linked(active: DataFrame, sets: DataFrame, percent: int, as_set: Callable[[str], Column] = F.col, n_shared: Callable[[str, str], Column] = common_members) -> DataFrame:
+    """The components (id, component), written, of nodes that similar ones join, if they share a bucket.
 
-    active = written(active, "members")
+    active has a row (key, node, n) for each bucket of a node, n the size of its set; as_set turns a row's set into an
+    array. A bucket's hub is its smallest set, and all members in another component are compared with it. If then at most
+    SMALL members are outside the bucket's largest component, these are compared with all others. So pairs grow with
+    members. In a bucket with more of them, two members of which one isn't similar to the hub can be similar only if they
+    share a member of their sets that the hub lacks, as the hub is not larger than either. These, by hub, are the next
+    round's buckets, with those that the components of this round leave at most SMALL members outside. No pair is lost, and
+    each round's buckets are done or lack the hub of the one before. A round joins its links to the components so far, a
+    star for each.
+    """
+    active, labels = written(active.withColumn("label", F.col("node")), "members"), None
     while True:
-        hubs = written(active.groupBy("key").agg(F.min(F.struct("n", "node")).alias("h"), F.count("*").alias("_n")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "_n"), "hubs")
-        met = written(dealt_join(active, hubs, ["key"], F.xxhash64("node"), hubs.select("key", "_n")), "met")
-        links = more(similar(met.where("node <> hub").select("hub", "hub_n", "node", "n").distinct(), sets, percent, n_shared))
-        settled, labels = links, None if links is None else written(components(links), "labels")
-        labelled = written(_labelled(met, labels), "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("key")
-        some = labelled.where(F.col("_n") <= few).join(mixed, "key").where("node <> hub").select("key", "node", "n", "label")
-        others = some.toDF("key", "hub", "hub_n", "hub_label")
-        pairs = some.join(others, "key").where("node > hub AND label <> hub_label").select("hub", "hub_n", "node", "n").distinct()
-        links = more(similar(pairs, sets, percent, n_shared))
-        many = labelled.where(F.col("_n") > few).join(mixed, "key").where("node <> hub").select("hub", "hub_n", "node", "n", "label").distinct()
-        other = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("other")
-        many = written(many, "open")
+        hubs = written(active.groupBy("key").agg(F.min(F.struct("n", "node", "label")).alias("h"), F.count("*").alias("_n")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"), "_n"), "hubs")
+        met = written(narrow_join(active, hubs, ["key"], F.xxhash64("node"), hubs.select("key", "_n")).where("node <> hub"), "met")
+        near = similar(met.where("label <> hub_label"), sets, percent, n_shared)
+        flagged = narrow_join(met, near.withColumn("_near", F.lit(True)), ["hub", "node"], F.xxhash64("key"), met.groupBy("hub", "node").agg(F.count("*").alias("_n")), "left")
+        now = written(flagged.select("key", "node", "n", "label", F.when(F.col("_near"), F.col("hub_label")).otherwise(F.col("label")).alias("now")), "now")
+        mixed = written(_outside(now, "now"), "mixed")
+        few = mixed.where(F.col("_out") <= SMALL)
+        # at most SMALL rows of a key are collected
+        out = narrow_join(now, few.select("key", "_most"), ["key"], F.xxhash64("node"), few.select("key", "_n")).where("now <> _most")
+        out = written(out.groupBy("key", "_most").agg(F.collect_list(F.struct("node", "n", "label", "now")).alias("_others")), "out")
+        pairs = narrow_join(now, out, ["key"], F.xxhash64("node"), few.select("key", "_n")).select("node", "n", "label", "now", "_most", F.explode("_others").alias("o"))
+        pairs = pairs.where("now <> o.now AND label <> o.label AND (now = _most OR node > o.node)").select(F.col("o.node").alias("hub"), F.col("o.n").alias("hub_n"), "node", "n")
+        rest = similar(pairs, sets, percent, n_shared)
+        found = near.union(rest) if labels is None else near.union(rest).union(labels)
+        before, labels = labels, components(found.toDF("a", "b"))
+        if before is not None:
+            dropped(before)
+        many = written(mixed.where(F.col("_out") > SMALL).select("key", "_n"), "many")
+        for done in (now, near, mixed, out, rest):
+            dropped(done)
         if many.isEmpty():
-            return labels if links is settled else written(components(links), "labels")
-        refs = many.groupBy("hub").agg(other, F.count("*").alias("_n"))
-        members = written(dealt_join(many, refs.select("hub", "other"), ["hub"], F.xxhash64("node"), refs.select("hub", "_n")), "open")
-        rest = _with_sets(members, sets, "other").select("hub", "node", "n", "label", F.explode(_rest(percent, as_set)).alias("_member"))
-        placed = written(rest.select(F.xxhash64("hub", "_member").alias("key"), "node", "n", "label"), "placed")
+            for done in (active, hubs, met, many):
+                dropped(done)
+            return labels
+        left = written(narrow_join(met.select("key", "hub", "hub_n", "node", "n"), many.select("key"), ["key"], F.xxhash64("node"), many), "left")
+        counts = left.groupBy("node").agg(F.count("*").alias("_n"))
+        labelled = written(narrow_join(left, labels.toDF("node", "label"), ["node"], F.xxhash64("key"), counts, "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        mixed = written(_outside(labelled, "label"), "mixed")
+        again, wide = mixed.where(F.col("_out") <= SMALL), mixed.where(F.col("_out") > SMALL)
+        kept = narrow_join(labelled, again.select("key"), ["key"], F.xxhash64("node"), again.select("key", "_n")).select("key", "node", "n", "label")
+        members = written(narrow_join(labelled, wide.select("key"), ["key"], F.xxhash64("node"), wide.select("key", "_n")).select("hub", "hub_n", "node", "n", "label").distinct(), "open")
+        other = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("other")
+        refs = written(members.groupBy("hub").agg(other, F.count("*").alias("_n")), "refs")
+        with_other = written(narrow_join(members, refs.select("hub", "other"), ["hub"], F.xxhash64("node"), refs.select("hub", "_n")), "open")
+        lacks = _with_sets(with_other, sets, "other").select("hub", "node", "n", "label", F.explode(_rest(percent, as_set)).alias("_member"))
+        placed = written(lacks.select(F.xxhash64("hub", "_member").alias("key"), "node", "n", "label"), "placed")
         buckets = written(placed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n")).where("_low < _high").select("key", "_n"), "shared")
-        before, active = active, written(dealt_join(placed, buckets.select("key"), ["key"], F.xxhash64("node"), buckets).select("key", "node", "n").distinct(), "members")
-        for done in (before, hubs, met, labelled, many, members, placed, buckets):
+        new = narrow_join(placed, buckets.select("key"), ["key"], F.xxhash64("node"), buckets).select("key", "node", "n", "label").distinct()
+        before, active = active, written(new.union(kept), "members")
+        for done in (before, hubs, met, many, left, labelled, mixed, members, refs, with_other, placed, buckets):
             dropped(done)
-        few *= GROWTH
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -234,17 +251,16 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = B
     sketched = written(sketches(docs, shingle, bands, rows), "sketches")
     nodes = written(sketched.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("_n")), "nodes")
     known = nodes.where("node IS NOT NULL")
-    active = in_shared_buckets(written(known.select("node", F.explode("keys").alias("key")), "placed"))
+    placed = written(known.select("node", F.explode("keys").alias("key")), "placed")
+    active = in_shared_buckets(placed)
     ids = written(active.select(F.col("node").alias("doc_id")).distinct(), "ids")
     sets = written(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id"), shingle), "sets")
     labels = linked(active.join(known.select("node", "n"), "node"), sets, percent)
-    dropped(sets)
-    if labels is not None:
-        nodes = nodes.join(labels.toDF("node", "component"), "node", "left")
-    else:
-        nodes = nodes.withColumn("component", F.col("node"))
+    nodes_of = nodes.join(labels.toDF("node", "component"), "node", "left")
     # all other sets have one row, which is its own component
-    named = written(nodes.where("_n > 1 OR component <> node").select("set_id", F.coalesce("component", "node").alias("component"), "_n"), "named")
+    named = written(nodes_of.where("_n > 1 OR component <> node").select("set_id", F.coalesce("component", "node").alias("component"), "_n"), "named")
+    for done in (placed, active, ids, sets, labels, nodes):
+        dropped(done)
     found = dealt_join(sketched, named.drop("_n"), ["set_id"], F.xxhash64("doc_id"), named.select("set_id", "_n"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
