@@ -143,14 +143,20 @@ def near_lines(kind, rnd):
     """Two lines of similarity 0.8 to 0.9."""
     word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
     while True:
-        if kind == "address":
+        if kind == "edge":
+            words, tail = [word(rnd.randint(2, 4)) for _ in range(rnd.randint(6, 9))], ""
+        elif kind == "repeats":
+            words, tail = [word(rnd.randint(2, 9)) for _ in range(3)] * 5, word(rnd.randint(10, 16))
+        elif kind == "address":
             words, tail = [word(rnd.randint(2, 4)) for _ in range(11)], word(600)
         elif kind == "tail":
             words, tail = [word(rnd.randint(1, 3)) for _ in range(10)], word(rnd.randint(150, 250))
         else:
             words, tail = [word(rnd.randint(2, 9)) for _ in range(rnd.randint(14, 60))], ""
         other = list(words)
-        for _ in range(rnd.randint(1, 11)):
+        if kind in ("edge", "repeats"):  # another end, of up to four characters
+            other[-1] += word(rnd.randint(1, 4))
+        for _ in range(0 if kind in ("edge", "repeats") else rnd.randint(1, 11)):
             other[rnd.randrange(len(other))] = word(rnd.randint(2, 7))
         a, b = (" ".join([*w, tail]).strip() for w in (words, other))
         x, y = line_set(a), line_set(b)
@@ -158,7 +164,7 @@ def near_lines(kind, rnd):
             return a, b
 
 
-@pytest.mark.parametrize("kind", ["address", "tail", "prose"])
+@pytest.mark.parametrize("kind", ["address", "tail", "prose", "edge", "repeats"])
 def test_recall_of_fuzzy_lines(spark, kind):
     rnd = random.Random(kind)
     pairs = [near_lines(kind, rnd) for _ in range(300)]
@@ -166,12 +172,16 @@ def test_recall_of_fuzzy_lines(spark, kind):
     assert 0.99 * len(pairs) <= got <= len(pairs)
 
 
-def test_line_hashes_are_of_utf16_units():
-    lines = ["short", "x", "a line of some more words", "\U0001f600 smile \U0001f600 again", "\U0001f600" * 9, "a" * 700 + "b" * 700]
-    for line in lines:
-        own = linededup._set(line.encode("utf-16-be"))
-        assert len(linededup._hash_set(line.encode("utf-16-be"))) == len(own)
-    assert linededup._n_shared("abcdefghij".encode("utf-16-be"), "xbcdefghij".encode("utf-16-be")) == 2
+def test_line_dedup_uses_no_python(spark, monkeypatch):
+    """Neither the result's plan nor that of any table written on the way."""
+    plans, write = [], linededup.written
+    noted = lambda df, label: plans.append(df._jdf.queryExecution().toString()) or write(df, label)
+    for module in (linededup, minhash, components):
+        monkeypatch.setattr(module, "written", noted)
+    plans.append(linededup.deduplicated(documents(spark, line_texts(3)).repartition(2))._jdf.queryExecution().toString())
+    assert len(plans) > 10
+    for plan in plans:
+        assert not re.search("ArrowEval|BatchEvalPython|MapInArrow|MapInPandas|InPandas|pythonUDF", plan)
 
 
 AWKWARD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", None, 4), (4, "word " * 30_000, "en", "a", 150_000), (5, "same text for all of these rows here, again", "en", "a", 43), (5, "same text for all of these rows here, again", "en", "a", 43), (None, "same text for all of these rows here, again", None, "b", 43), (None, None, None, None, None), (6, "x" * 100_000, "fr", "b", 100_000)]
