@@ -146,7 +146,7 @@ def near_lines(kind, rnd):
         if kind == "edge":
             words, tail = [word(rnd.randint(2, 4)) for _ in range(rnd.randint(6, 9))], ""
         elif kind == "repeats":
-            words, tail = [word(rnd.randint(2, 9)) for _ in range(3)] * 5, word(rnd.randint(10, 16))
+            words, tail = [word(rnd.randint(2, 9)) for _ in range(3)] * 5, word(rnd.randint(50, 70))
         elif kind == "address":
             words, tail = [word(rnd.randint(2, 4)) for _ in range(11)], word(600)
         elif kind == "tail":
