@@ -76,6 +76,28 @@ def test_addresses(spark):
     assert places.resolved(spark.createDataFrame([], ADDRESSES), postal, localities, subs, countries).count() == 0
 
 
+def _most_rows(df):
+    """The most rows that an operator of df's plan gives, after it ran."""
+    df.collect()
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        children, rows = node.children(), node.metrics().get("numOutputRows")
+        nodes += [children.apply(k) for k in range(children.size())]
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+def test_places_of_a_code_or_a_name_are_not_paired_with_addresses(spark):
+    n = 400
+    addresses = spark.range(n).select(F.col("id").cast("int").alias("address_id"), F.lit("A").alias("country"), F.when(F.col("id") % 2 == 0, "AB1").alias("postal_code"), F.lit("town").alias("locality"), F.lit(None).cast("string").alias("subdivision"))
+    postal = spark.range(n).select(F.lit("A").alias("country"), F.lit("AB").alias("code"), F.lit("p").alias("place"), (F.col("id") % 90).cast("double").alias("latitude"), F.lit(1.0).alias("longitude"), (-F.col("id")).alias("position"))
+    localities = spark.range(n).select(F.lit("A").alias("country"), F.concat(F.lit("Old Town "), (F.col("id") % 3).cast("string")).alias("place"), F.col("id").cast("double").alias("latitude"), F.lit(2.0).alias("longitude"), F.col("id").alias("population"))
+    found = places.resolved(addresses, postal, localities, postal.select("country", "code", "latitude", "longitude").limit(0), postal.select("country", "latitude", "longitude").limit(0))
+    assert {(r.precision, r.latitude, r.n_candidates) for r in found.collect()} == {("postal_area", float((n - 1) % 90), n), ("locality", float(n - 1), places.MOST_PLACES)}
+    assert _most_rows(found) <= 4 * n
+
+
 def test_units(spark):
     names = "country string, level int, code string, parent_code string, name string"
     d = spark.createDataFrame([("IND", 1, "MH", None, "Maharashtra"), ("IND", 2, "PU", "MH", "Pune"), ("IND", 3, "H", "PU", "Haveli"), ("USA", 1, "CA", "", "California")], names)
