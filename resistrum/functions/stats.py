@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The quantile of the 95 % Wilson interval, and of other levels.
 Z95 = 1.959963984540054
@@ -39,12 +43,28 @@ def llr_space_time(observed: Column, expected: Column, total: Column) -> Column:
     return F.when((o > e) & (e > 0) & (n > o) & (n > e), o * F.log(o / e) + (n - o) * F.log((n - o) / (n - e))).otherwise(0.0)
 
 
+@F.pandas_udf(DoubleType())
+def _bernoulli_ratio(cases: pd.Series, tested: pd.Series, all_cases: pd.Series, all_tested: pd.Series) -> pd.Series:
+    """The ratio's terms in the order in which its SQL adds them, with the C library's logarithm.
+
+    Terms are as large as the counts and nearly cancel: of millions tested, another order or Spark's logarithm (which may be off by
+    another last digit) moves the sixth decimal of some ratios.
+    """
+
+    def term(k: float, m: float) -> float:
+        return k * math.log(k / m) if k > 0 else 0.0
+
+    def ratio(c: float, n: float, cc: float, nn: float) -> float:
+        if not (0 < n < nn and 0 < cc < nn and c / n > (cc - c) / (nn - n)):
+            return 0.0
+        return term(c, n) + term(n - c, n) + term(cc - c, nn - n) + term(nn - n - cc + c, nn - n) - term(cc, nn) - term(nn - cc, nn)
+
+    return pd.Series([ratio(*x) for x in zip(cases, tested, all_cases, all_tested, strict=True)], dtype="float64")
+
+
 def llr_bernoulli(cases: Column, tested: Column, all_cases: Column, all_tested: Column) -> Column:
     """Log likelihood ratio of a higher proportion inside than outside; 0 for all others."""
-    c, n, cc, nn = (x.cast("double") for x in (cases, tested, all_cases, all_tested))
-    part = lambda k, m: xlogy(k, k / m) + xlogy(m - k, (m - k) / m)
-    good = (n > 0) & (nn - n > 0) & (cc > 0) & (cc < nn) & (c / n > (cc - c) / (nn - n))
-    return F.when(good, part(c, n) + part(cc - c, nn - n) - part(cc, nn)).otherwise(0.0)
+    return _bernoulli_ratio(*(x.cast("double") for x in (cases, tested, all_cases, all_tested)))
 
 
 def llr_poisson(cases: Column, population: Column, all_cases: Column, all_population: Column) -> Column:

@@ -239,3 +239,17 @@ def test_stays_that_meet(spark):
     cases = spark.createDataFrame(c, "organism string, agent string, location string, specimen_date date, admission_date date")
     got = {r.signal_id: (r.n_cases, r.plausibility) for r in signals.plausibility(s, cases).collect()}
     assert got == {"x": (3, round(2 / 3, 4)), "y": (2, 0.0), "z": (0, 0.0)}
+
+
+def test_ratios_of_large_counts_are_those_of_the_sql(spark):
+    import duckdb
+
+    from resistrum.functions.stats import llr_bernoulli
+    from resistrum.plans.scanning import _BERNOULLI
+
+    rng = np.random.default_rng(5)
+    rows = [(float(c), float(n), 2_300_000.0, 3_600_000.0) for n in rng.integers(3_000, 1_800_000, 400) for c in [rng.binomial(n, 0.64)]] + [(0.0, 5.0, 2.0, 9.0), (5.0, 5.0, 5.0, 9.0), (3.0, 9.0, 3.0, 9.0)]
+    d = spark.createDataFrame(rows, "c double, n double, cc double, nn double")
+    got = [r.llr for r in d.select(llr_bernoulli(*(F.col(x) for x in ("c", "n", "cc", "nn"))).alias("llr")).collect()]
+    want = [r[0] for r in duckdb.connect().execute(f"SELECT {_BERNOULLI} FROM (SELECT c::DOUBLE AS c, n::DOUBLE AS n, cc::DOUBLE AS cc, nn::DOUBLE AS nn, k FROM (VALUES {', '.join(str((*r, k)) for k, r in enumerate(rows))}) AS t(c, n, cc, nn, k)) ORDER BY k").fetchall()]
+    assert got == want
