@@ -144,7 +144,8 @@ def multivariate(results: DataFrame, baseline_days: int = 365, max_days: int = 6
     """
     cells = results.groupBy("organism", "agent", "location", "day").agg(F.count("*").alias("tested"), F.sum(F.col("resistant").cast("long")).alias("cases"))
     single = bernoulli(cells, ["organism", "agent"], "space-time", baseline_days, max_days, 0, 0, prospective).where(F.col("total_tested") >= least_tested)
-    strongest = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("llr")).alias("k"), "agent"))), lambda x: x["agent"])
+    # ratios that differ by less than 1e-9 are equal, and come by name
+    strongest = F.transform(F.array_sort(F.collect_list(F.struct((-F.floor(F.col("llr") * 1e9)).alias("k"), "agent"))), lambda x: x["agent"])
     both = single.groupBy("organism", "location", "begin", "end", "days").agg(F.sum("observed").alias("observed"), F.sum("tested").alias("tested"), F.count("*").alias("streams"), strongest.alias("agents"), F.sum("llr").alias("llr"))
     return both.where(F.col("observed") >= least)
 
