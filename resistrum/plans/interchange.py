@@ -24,15 +24,19 @@ TESTED_SQL = "SELECT order_key, organism, agent, arg_max(result, (line, measurem
 def _exchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The isolates of all results after they were written as messages and read back."""
     ast = adapters.ast(spark, sf_dir).where("result IS NOT NULL")
-    tested = ast.groupBy("order_key", "organism", "agent").agg(F.max(F.struct("line", F.col("measurement").alias("m"), "result")).alias("b")).select("order_key", "organism", "agent", "b.m", "b.result")
-    entry = F.struct("result", F.col("m").cast("long").cast("string").alias("measurement"), F.lit("MIC").alias("method"))
-    results = tested.groupBy("order_key", "organism").agg(F.map_from_entries(F.collect_list(F.struct("agent", entry.alias("e")))).alias("results"))
-    rows = spark.sql(REPORTED, ast=ast).join(results, ["order_key", "organism"]).withColumn("specimen_number", F.col("isolate_id"))
+    # one pass, by drug and then by isolate: the columns of REPORTED with the results of its drugs
+    least = [F.min(c).alias(c) for c in ("patient", "location", "location_type", "specimen_date", "specimen")]
+    tested = ast.groupBy("order_key", "organism", "agent").agg(F.max(F.struct("line", F.col("measurement").alias("m"), "result")).alias("b"), *least)
+    entry = F.struct("b.result", F.col("b.m").cast("long").cast("string").alias("measurement"), F.lit("MIC").alias("method"))
+    whole = tested.groupBy("order_key", "organism").agg(F.map_from_entries(F.collect_list(F.struct("agent", entry.alias("e")))).alias("results"), *least)
+    number = F.concat_ws("-", F.col("order_key").cast("string"), "organism")
+    rows = whole.withColumns({"isolate_id": number, "specimen_number": number, "location": F.concat("location", F.lit(" ^&|~x")), "specimen_date": F.when(F.col("order_key") % 11 != 0, F.col("specimen_date"))})
     path = shared_path(spark, "hl7")
     hl7.as_messages(rows, "LAB-1").select("raw").write.text(path)
     read = hl7.read_messages(spark, path).withColumn("message_id", F.regexp_extract("raw", r"\|ORU\^R01\|([^|]*)\|", 1))
-    codes = [ast.select(F.lit(kind).alias("kind"), F.col(c).alias("code")).distinct() for kind, c in (("organism", "organism"), ("specimen", "specimen"), ("antibiotic", "agent"))]
-    own = codes[0].where("code <> 'Brand#13'").union(codes[1]).union(codes[2]).withColumn("display", F.col("code")).withColumn("code", F.upper("code"))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("code")) for kind, c in (("organism", "organism"), ("specimen", "specimen"), ("antibiotic", "agent"))])
+    codes = ast.select(F.explode(kinds).alias("c")).select("c.*").distinct().where("NOT (kind = 'organism' AND code = 'Brand#13')")
+    own = codes.withColumn("display", F.col("code")).withColumn("code", F.upper("code"))
     maps = spark.createDataFrame([], "kind string, code string, source string, method string")
     return hl7.isolates(hl7.parsed(read).select("message_id", "hl7"), own, maps, "LAB-1")
 

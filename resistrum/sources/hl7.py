@@ -18,6 +18,7 @@ from resistrum.sources.shared import written
 MOST_CHARS, MOST_SEGMENTS, MOST_FIELDS, MOST_REPETITIONS, MOST_COMPONENTS, MOST_HEX = 1024 * 1024, 10_000, 512, 256, 128, 64
 DELIMITERS = {"field": "|", "component": "^", "repetition": "~", "escape": "\\", "subcomponent": "&"}
 #: Names by which senders call the library's own codes, LOINC and SNOMED, and the system that each kind is mapped from.
+MOST_SENT = 100_000
 OWN_SYSTEMS = ("WHONET", "L", "99WHONET", "99WHO")
 FOREIGN_SYSTEMS = {"LOINC": ("LN", "LOINC", "HTTP://LOINC.ORG"), "SNOMED": ("SCT", "SNM", "SNOMED", "SNOMEDCT", "HTTP://SNOMED.INFO/SCT")}
 MAPPED_FROM = {"organism": "SNOMED", "specimen": "SNOMED", "antibiotic": "LOINC"}
@@ -38,7 +39,14 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _split(value: Column, delimiter: Column) -> Column:
-    return F.split(value, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), -1)
+    # a backslash and a mark that is no letter or digit is split at without a pattern being compiled for each value
+    plain = delimiter.between("0", "9") | delimiter.between("A", "Z") | delimiter.between("a", "z")
+    return F.split(value, F.when(plain, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))).otherwise(F.concat(F.lit("\\"), delimiter)), -1)
+
+
+def _part(value: Column, delimiter: Column, k: int, most: int) -> Column:
+    """The k-th part of value, none beyond the first `most`."""
+    return F.get(_split(value, delimiter), F.lit(k - 1)) if k <= most else F.lit(None).cast("string")
 
 
 def decoded(value: Column, d: Column) -> Column:
@@ -58,7 +66,7 @@ def decoded(value: Column, d: Column) -> Column:
         last = F.size(parts) - 1
         return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, x).when(i == last, F.concat(escape, x)).otherwise(meaning(x))), "")
 
-    return _let(value, lambda v: F.when(F.contains(v, escape), _let(_split(v, escape), joined)).otherwise(v))
+    return F.when(F.contains(value, escape), _let(_split(value, escape), joined)).otherwise(value)
 
 
 def encoded(value: Column) -> Column:
@@ -76,8 +84,8 @@ def field(segment: Column, position: int, d: Column) -> Column:
 
 def component(segment: Column, position: int, k: int, d: Column, repetition: int = 0) -> Column:
     """The k-th component of a field's repetition."""
-    again = F.get(F.slice(_split(F.get(segment["fields"], F.lit(position)), d["repetition"]), 1, MOST_REPETITIONS), F.lit(repetition))
-    return F.coalesce(decoded(F.trim(F.get(F.slice(_split(again, d["component"]), 1, MOST_COMPONENTS), F.lit(k - 1))), d), F.lit(""))
+    again = _part(F.get(segment["fields"], F.lit(position)), d["repetition"], repetition + 1, MOST_REPETITIONS)
+    return F.coalesce(decoded(F.trim(_part(again, d["component"], k, MOST_COMPONENTS)), d), F.lit(""))
 
 
 def subcomponent(segment: Column, position: int, k: int, sub: int, d: Column, repetition: int = 0) -> Column:
@@ -163,6 +171,12 @@ def parsed(messages: DataFrame, raw: str = "raw") -> DataFrame:
     return d.withColumn("hl7", out).drop("_lines", "_delimiters", "_fatal", "_all", "_kept", "_msh", "_version", "_issues")
 
 
+def _small(codes: DataFrame) -> DataFrame:
+    """codes written once, and sent to all tasks if they are few, whatever their plan let expect."""
+    kept = written(codes, "codes")
+    return F.broadcast(kept) if kept.limit(MOST_SENT + 1).count() <= MOST_SENT else kept
+
+
 def reconciled(elements: DataFrame, own: DataFrame, maps: DataFrame) -> DataFrame:
     """elements (kind, code, system) with the library's code: target, display, how (own or mapped) and method, or why not (reason).
 
@@ -201,7 +215,7 @@ def isolates(messages: DataFrame, own: DataFrame, maps: DataFrame, lab_code: str
     by joins, one row per coded element; what comes together again is one message.
     """
     d, m = F.col("hl7")["delimiters"], F.col("hl7")
-    is_organism = lambda s: _let(coded(s, 3, F.col("hl7")["delimiters"]), lambda c: (F.upper(c["code"]) == "ORG") | (c["alternate_code"] == "11475-1") | F.contains(F.lower(c["text"]), F.lit("organism")))
+    is_organism = lambda s: (F.upper(component(s, 3, 1, d)) == "ORG") | (component(s, 3, 4, d) == "11475-1") | F.contains(F.lower(component(s, 3, 2, d)), F.lit("organism"))
     flat = messages.select("message_id", "hl7", *[first_segment(m, s).alias(f"_{s.lower()}") for s in ("PID", "PV1", "SPM", "OBR")], segments_of(m, "OBX").alias("_obx"))
     flat = flat.withColumn("_organism", F.get(F.filter("_obx", is_organism), F.lit(0)))
     pid, pv1, spm, obr = (F.col(f"_{s}") for s in ("pid", "pv1", "spm", "obr"))
@@ -228,27 +242,30 @@ def isolates(messages: DataFrame, own: DataFrame, maps: DataFrame, lab_code: str
         parts = [c["alternate_code"], c["alternate_system"], c["alternate_text"]] if role == "alternate" else [c["code"], c["system"], c["text"]]
         return F.struct(F.lit(kind_).alias("kind"), at.cast("int").alias("at"), location.alias("location"), F.lit(role).alias("role"), *[p.alias(n) for p, n in zip(parts, ("code", "system", "text"), strict=True)], *extra)
 
-    def observation(s: Column) -> Column:
-        def made(c: Column) -> Column:
-            value = component(s, 5, 1, F.col("hl7")["delimiters"])
-            result = F.coalesce(_interpretation(component(s, 8, 1, F.col("hl7")["delimiters"])), _interpretation(value))
-            number = (F.upper(field(s, 2, F.col("hl7")["delimiters"])) == "NM") | value.rlike(r"^[<>=]?\s*[0-9.]+$")
-            more = {"result": result, "measurement": F.when(number, value).otherwise(""), "unit": F.lower(component(s, 6, 1, F.col("hl7")["delimiters"]))}
-            at = F.concat(F.lit("OBX["), s["index"].cast("string"), F.lit("]"))
-            both = [element("antibiotic", s["index"], at, c, role, **more) for role in ("own", "alternate")]
-            return F.filter(F.array(*both), lambda e: ((e["role"] == "own") & ((c["code"] != "") | (c["alternate_code"] != ""))) | ((e["role"] == "alternate") & (c["alternate_code"] != "")))
-
-        return _let(coded(s, 3, F.col("hl7")["delimiters"]), made)
-
     rest = F.filter("_obx", lambda s: F.col("_organism").isNull() | (s["index"] != F.col("_organism")["index"]))
     organism = F.when(F.col("_organism").isNotNull(), _let(coded(F.col("_organism"), 5, d), lambda c: element("organism", F.col("_organism")["index"], F.concat(F.lit("OBX["), F.col("_organism")["index"].cast("string"), F.lit("]-5")), c, "own")))
     specimen = F.when(component(spm, 4, 1, d) != "", _let(coded(spm, 4, d), lambda c: element("specimen", F.lit(-1), F.lit("SPM-4"), c, "own")))
-    every = F.concat(F.filter(F.array(organism, specimen), lambda x: x.isNotNull()), F.flatten(F.transform(rest, observation)))
-    # one pass over the messages, written as both branches below need it
-    read = written(flat.select("message_id", *[v.alias(k) for k, v in scalars.items()], own_reasons.cast(_REASONS).alias("_reasons"), F.when(m["usable"], every).alias("_every")), "messages")
-    heads = read.drop("_every")
-    elements = read.select("message_id", F.explode("_every").alias("e")).select("message_id", "e.*")
-    found = reconciled(elements, own, maps)
+    every = F.filter(F.array(organism, specimen), lambda x: x.isNotNull())
+    # one pass over the messages, written as all branches below need it
+    read = written(flat.select("message_id", *[v.alias(k) for k, v in scalars.items()], own_reasons.cast(_REASONS).alias("_reasons"), d.alias("_d"), F.when(m["usable"], every).alias("_every"), F.when(m["usable"], rest).alias("_rest")), "messages")
+    heads = read.drop("_d", "_every", "_rest")
+    # dealt by message before they are taken apart: what follows groups by message, and look-ups of small tables leave rows where they are
+    dealt = read.select("message_id", "_d", "_every", "_rest").repartition("message_id")
+    # observations become rows before their parts are read, as Spark compiles what it does to columns but not what it does within arrays
+    seen = dealt.select("message_id", "_every", "_d", F.posexplode_outer("_rest").alias("_k", "_s"))
+    s, d = F.col("_s"), F.col("_d")
+    names = ("code", "text", "system", "alternate_code", "alternate_text", "alternate_system")
+    seen = seen.withColumns({f"_{n}": component(s, 3, k, d) for k, n in enumerate(names, 1)} | {"_value": component(s, 5, 1, d), "_flag": component(s, 8, 1, d), "_type": field(s, 2, d), "_unit": F.lower(component(s, 6, 1, d))})
+    number = (F.upper("_type") == "NM") | F.col("_value").rlike(r"^[<>=]?\s*[0-9.]+$")
+    more = {"result": F.coalesce(_interpretation(F.col("_flag")), _interpretation(F.col("_value"))), "measurement": F.when(number, F.col("_value")).otherwise(""), "unit": F.col("_unit")}
+    c, at = {n: F.col(f"_{n}") for n in names}, F.concat(F.lit("OBX["), s["index"].cast("string"), F.lit("]"))
+    there = {"own": (c["code"] != "") | (c["alternate_code"] != ""), "alternate": c["alternate_code"] != ""}
+    both = [F.when(s.isNotNull() & good, element("antibiotic", s["index"], at, c, role, **more)) for role, good in there.items()]
+    # the message's own elements come with its first observation, or alone
+    once = F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("_every"))
+    each = F.concat(F.coalesce(once, F.array().cast(read.schema["_every"].dataType)), F.filter(F.array(*both), lambda e: e.isNotNull()))
+    elements = seen.select("message_id", F.explode(each).alias("e")).select("message_id", "e.*")
+    found = reconciled(elements, _small(own), _small(maps))
     # of a drug's two triplets the first that is known
     best = F.min_by(F.struct("target", "display", "method", "text", "result", "measurement", "unit", "reason", "location"), F.struct(F.col("target").isNull(), F.col("role") != "own"))
     chosen = found.groupBy("message_id", "kind", "at").agg(best.alias("b")).select("message_id", "kind", "at", "b.*")
