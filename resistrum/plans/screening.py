@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from resistrum.operators import evaluation, screening
 from resistrum.plans.analysis import query
 from resistrum.sources import adapters
+from resistrum.sources.shared import written
 
 
 @query("""SELECT isolate_id, organism, specimen_date FROM v_isolate WHERE lower(trim(location)) IN ('nation_3', 'nation_7') AND lower(organism) LIKE '%brand#1%'
@@ -65,7 +66,7 @@ _ASKED = "CASE WHEN isolate_id % 7 = 0 THEN NULL WHEN isolate_id % 3 = 0 THEN '
 o AS (SELECT lab, patient, min(isolate_id) AS isolate_id FROM r GROUP BY ALL)
 SELECT w.lab, w.patient, o.isolate_id FROM w LEFT JOIN o ON lower(w.lab) = o.lab AND lower(trim(w.patient)) = lower(o.patient)""")
 def identity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = adapters.isolates(spark, sf_dir)
+    d = written(adapters.isolates(spark, sf_dir).select("isolate_id", "site", "patient"), "isolates")
     records = d.select("isolate_id", F.concat(F.lit("lab-"), "site").alias("lab"), F.concat(F.lit("P"), "patient").alias("patient"))
     wanted = d.select(F.concat(F.lit("LAB-"), "site").alias("lab"), F.expr(_ASKED).alias("patient")).distinct()
     return screening.identified(records, wanted, ["lab", "patient"])
