@@ -11,6 +11,9 @@ CONTAMINANTS = (
     "staphylococcus warneri", "corynebacterium", "cutibacterium", "propionibacterium", "micrococcus", "bacillus",
 )
 
+#: Sites of a block, and pairs of a query and a site that a task makes.
+BLOCK, PAIRS = 1000, 2_000_000
+
 
 def named(column: str, values: list[str]) -> Column:
     """Any of values, without case and outer white space."""
@@ -96,17 +99,23 @@ def pending(queries: DataFrame, dispatches: DataFrame, sites: DataFrame, now: st
     """(query_id, site) still to be sent: of active queries that have not expired, to the sites that targets name, or to all if it is null; an empty list is nobody.
 
     A dispatch made before counts unless it is pending. queries: query_id, targets, and, if it has them, status and expires_at.
-    Sites are gathered once, as a list that each query of all sites takes: what is made are the pairs to be sent.
+    Sites are gathered in blocks of about BLOCK, and a query meets a block in a row of its own: what a row holds is bounded, what is made
+    are the pairs to be sent, and tasks grow with these.
     """
     active = queries
     if "status" in queries.columns:
         active = active.where("status = 'active'")
     if "expires_at" in queries.columns and now is not None:
         active = active.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
-    every = sites.agg(F.collect_set("site").alias("_every"))  # as many as there are sites
     sent = dispatches.where("status <> 'pending'") if "status" in dispatches.columns else dispatches
-    done = sent.groupBy("query_id").agg(F.collect_set("site").alias("_done"))
-    wanted = active.select("query_id", "targets").join(done, "query_id", "left").join(F.broadcast(every))
+    n_sites = sites.count()
+    blocks = max(1, -(-n_sites // BLOCK))
+    parts = max(1, -(-active.where("targets IS NULL").count() * n_sites // PAIRS))
+    block = F.pmod(F.xxhash64("site"), F.lit(blocks)).alias("_block")
+    every = sites.groupBy(block).agg(F.collect_set("site").alias("_every"))
+    done = sent.select("query_id", "site", block).repartition(parts, "query_id", "_block").groupBy("query_id", "_block").agg(F.collect_set("site").alias("_done"))
+    wanted = active.select("query_id", "targets").join(F.broadcast(every.select("_block"))).repartition(parts, "query_id", "_block")
+    wanted = wanted.join(F.broadcast(every), "_block").join(done, ["query_id", "_block"], "left")
     left = F.array_except(F.when(F.col("targets").isNull(), F.col("_every")).otherwise(F.array_intersect("targets", "_every")), F.coalesce("_done", F.array().cast(done.schema["_done"].dataType)))
     return wanted.select("query_id", F.explode(left).alias("site"))
 
