@@ -14,7 +14,7 @@ def dealt(monkeypatch):
     monkeypatch.setattr(adapters, "PART", 500)
 
 
-@pytest.mark.parametrize("name", ["identity_lookup", "first_isolates", "repeat_isolates", "expired_isolates", "denominator_cube"])
+@pytest.mark.parametrize("name", ["identity_lookup", "first_isolates", "repeat_isolates", "expired_isolates", "denominator_cube", "rare_results"])
 def test_dealt_joins_return_the_rows_of_the_sql(spark, sf, dealt, name):
     assert_same(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf)
 
