@@ -76,7 +76,7 @@ def filed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("LAB-1").alias("lab_code"), F.col("patient").cast("string").alias("patient"), F.col("order_key").cast("string").alias("specimen_number"), F.concat_ws("-", "order_key", "line", "organism", "agent", "result").alias("message_id"), F.col("line").cast("long").alias("seq"),
         F.col("admission_date").cast("string").alias("specimen_date"), "organism", (F.col("line") % 3 == 0).alias("corrected"), F.create_map(F.lit("location"), F.col("location")).alias("fields"), results.alias("results"),
     )
-    records = ingest.filed(reports).where("newest").select("specimen_number", F.col("record").cast("long").alias("record"), "organism", F.explode("results").alias("agent", "e"))
+    records = ingest.filed(reports, last=True).select("specimen_number", F.col("record").cast("long").alias("record"), "organism", F.explode("results").alias("agent", "e"))
     return records.select("specimen_number", "record", "organism", "agent", "e.result")
 
 

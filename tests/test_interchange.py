@@ -125,6 +125,38 @@ def test_reports_are_folded_in_order(spark):
     assert len(got) == 7 and ingest.filed(d.limit(0)).count() == 0
 
 
+def test_reports_are_folded_from_whole_columns(spark):
+    """Rows of filed are those that folded makes of each specimen, with awkward texts and fields, over the ends of batches; `last` returns the newest."""
+    rng = random.Random(8)
+    text = lambda *some: rng.choice([*some, "", "  ", None])
+    reports = []
+    for k in range(400):
+        fields = rng.choice([None, {}, {"location": text("A", " B\u2003", "C")}, {"notes": text("x"), "location": text("B")}, {"organism": text("ECO", "PAE")}, {"specimen_date": text("2026-01-01", "2026-01-02"), "notes": text("y")}])
+        entry = lambda: rng.choice([None, (text("R", "S", " S"), text("1", "2"), text("MIC", "DISK"))])
+        results = rng.choice([None, {}, {"MEM": entry()}, {"MEM": entry(), "CIP": entry()}, {"GEN": entry(), "MEM": entry()}])
+        reports.append((f"m{k}", rng.randrange(9), "L", "p", text(*"abcdefgh"), text("2026-01-01", "2026-01-02"), text("KPN", "ECO", "PAE", " KPN"), rng.choice([True, False, None]), fields, results))
+    d = spark.createDataFrame(reports, REPORT)
+    names = [f.name for f in d.schema]
+    by = {}
+    for values in d.collect():  # maps in Spark's order
+        r = dict(zip(names, values, strict=True))
+        shaped = {k: dict(zip(("result", "measurement", "method"), v, strict=True)) for k, v in (r["results"] or {}).items() if v is not None}
+        by.setdefault(r["specimen_number"], []).append(r | {"corrected": bool(r["corrected"]), "fields": r["fields"] or {}, "results": shaped})
+    plain = lambda x: sorted((k, v if isinstance(v, str) else tuple(v.values() if isinstance(v, dict) else v)) for k, v in x.items())
+    row = lambda number, r: (str(number), r["message_id"], r["seq"], r["record"], r["status"], tuple(r["changes"]), r["newest"], r["organism"], r["specimen_date"], plain(r["fields"]), plain(r["results"]))
+    want = [(x["newest"], repr(row(number, x))) for number, own in by.items() for x in ingest.folded(own)]
+    assert "specimen_date: 2026-01-01 -> 2026-01-02" in str(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for last in (False, True):
+            found = ingest.filed(d.repartition(5), last).collect()
+            assert sorted(repr(row(r.specimen_number, r.asDict())) for r in found) == sorted(x for newest, x in want if newest or not last)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = ingest.filed(d)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
 def test_stream_of_corrections_ends_as_the_batch(spark, tmp_path):
     rng = random.Random(3)
     reports = [(f"m{k}", k, "L", f"p{k % 3}", f"s{k % 5}", "2026-01-01", rng.choice(["KPN", "ECO", "PAE"]), rng.random() < 0.3, {"location": rng.choice(["", "A", "B"])}, {rng.choice(["MEM", "CIP"]): (rng.choice("RIS"), "", "")}) for k in range(60)]
