@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 
 from resistrum.functions import distributions
 from resistrum.functions.stats import llr_bernoulli, llr_space_time
+from resistrum.sources.shared import written
 
 POOLED = "All locations"
 
 
 def daily(events: DataFrame) -> DataFrame:
-    """location, signal, day, cases on each day of the study, with zeros, and the same over all locations."""
-    first, last = events.agg(F.min("day"), F.max("day")).first()
-    counts = events.groupBy("location", "signal", "day").agg(F.count("*").alias("cases"))
-    pooled = events.groupBy("signal", "day").agg(F.count("*").alias("cases")).select(F.lit(POOLED).alias("location"), "signal", "day", "cases")
+    """location, signal, day, cases on each day of the study, with zeros, and the same over all locations.
+
+    Events are read once; all else is made of their counts by location, signal and day.
+    """
+    counts = written(events.groupBy("location", "signal", "day").agg(F.count("*").alias("cases")), "counts")
+    first, last = counts.agg(F.min("day"), F.max("day")).first()
+    pooled = counts.groupBy("signal", "day").agg(F.sum("cases").alias("cases")).select(F.lit(POOLED).alias("location"), "signal", "day", "cases")
     both = counts.union(pooled)
     days = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")
     return both.select("location", "signal").distinct().select("location", "signal", days).join(both, ["location", "signal", "day"], "left").select("location", "signal", "day", F.coalesce("cases", F.lit(0)).alias("cases"))

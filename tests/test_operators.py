@@ -238,3 +238,19 @@ def test_null_maxima_are_those_of_shuffled_days(spark):
     assert max(abs(np.searchsorted(drawn, x) / 200 - (k + 1) / len(brute)) for k, x in enumerate(brute)) < 0.17
     again = sorted(r.top for r in detection.null_maxima(d, 200, chunk=7).collect())
     assert again == drawn
+
+
+def test_daily_reads_events_once(spark):
+    """A study's days and sums over locations are made of the counts, not of the events anew."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    rows = [("A", "s", dt.date(2026, 1, 1 + k % 5)) for k in range(20)] + [("B", "s", dt.date(2026, 1, 2)), ("B", "t", None)]
+    events = spark.createDataFrame(rows, "location string, signal string, day date").mapInPandas(seen, "location string, signal string, day date")
+    got = {(r.location, r.signal, r.day.day): r.cases for r in detection.daily(events).where("signal = 's'").collect()}
+    assert read.value == len(rows)
+    assert got == {("A", "s", d): 4 for d in range(1, 6)} | {("B", "s", d): int(d == 2) for d in range(1, 6)} | {("All locations", "s", d): 4 + (d == 2) for d in range(1, 6)}
