@@ -141,17 +141,17 @@ def negative_binomial_probability(k: Column, size: Column, mean: Column) -> Colu
     return F.when((size <= 0) | (mean < 0) | k.isNull(), None).when(k < 0, 0.0).when(mean == 0, 1.0).otherwise(F.least(F.lit(1.0), _negative_binomial(k, size, mean, F.lit(2.0))["sum"]))
 
 
-def _last(mean: Column, sd: Column) -> Column:
-    """A count that is not reached with a probability of more than 1e-8."""
-    return F.ceil(mean + 60 * sd + 60)
+def _last(mean: Column, sd: Column, p: Column) -> Column:
+    """A count up to which the probability is at least p: by Cantelli's inequality, at most sqrt(p / (1 - p)) deviations above the mean, and 60 for p up to 1 - 1e-8."""
+    return F.ceil(mean + F.least(F.lit(60.0), F.sqrt(F.try_divide(p, 1 - p)) + 1) * sd + 60)
 
 
 def poisson_quantile(p: Column, mean: Column) -> Column:
     """The least count whose probability is at least p, for p up to 1 - 1e-8."""
     p, mean = _double(p), _double(mean)
-    return F.when((p > 0) & (p < 1), F.when(mean == 0, 0).when(mean > 0, _poisson(_last(mean, F.sqrt(mean)), mean, p - 1e-12)["at"].cast("long")))
+    return F.when((p > 0) & (p < 1), F.when(mean == 0, 0).when(mean > 0, _poisson(_last(mean, F.sqrt(mean), p), mean, p - 1e-12)["at"].cast("long")))
 
 
 def negative_binomial_quantile(p: Column, size: Column, mean: Column) -> Column:
     p, size, mean = _double(p), _double(size), _double(mean)
-    return F.when((p > 0) & (p < 1), F.when(mean == 0, 0).when((mean > 0) & (size > 0), _negative_binomial(_last(mean, F.sqrt(mean + mean * mean / size)), size, mean, p - 1e-12)["at"].cast("long")))
+    return F.when((p > 0) & (p < 1), F.when(mean == 0, 0).when((mean > 0) & (size > 0), _negative_binomial(_last(mean, F.sqrt(mean + mean * mean / size), p), size, mean, p - 1e-12)["at"].cast("long")))

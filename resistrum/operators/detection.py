@@ -17,6 +17,8 @@ from resistrum.functions.stats import llr_bernoulli, llr_space_time
 from resistrum.sources.shared import written
 
 POOLED = "All locations"
+#: Parts over which the fitted weeks of all series are dealt.
+WEEK_PARTS = 64
 
 
 def daily(events: DataFrame) -> DataFrame:
@@ -292,6 +294,8 @@ def farrington(series: DataFrame, years: int = 5, half: int = 3, per_year: int =
     z = NormalDist().inv_cdf(1 - alpha)
     fit = lambda own: _farrington(own, years, half, per_year, z)
     fitted = series.groupBy("location", "signal").applyInPandas(fit, "location string, signal string, day date, cases long, expected double, upper double, dispersion double, scale double, trend boolean, n_references int, enough boolean")
+    # few series come out of few tasks; the folds of the distributions are made for each week
+    fitted = fitted.repartition(WEEK_PARTS, "location", "signal", "day")
     cases, mean, phi = F.col("cases"), F.col("expected"), F.col("dispersion")
     if bound == "power":
         over = 1 - distributions.normal_probability((F.pow(cases, F.lit(2 / 3)) - F.pow(mean, F.lit(2 / 3))) / F.col("scale"))

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from resistrum.functions import clinical, stats
+from resistrum.functions import clinical, distributions, stats
 from resistrum.operators import cohort, detection, federated, rules, susceptibility
 from resistrum.plans import analysis
 
@@ -254,3 +254,17 @@ def test_daily_reads_events_once(spark):
     got = {(r.location, r.signal, r.day.day): r.cases for r in detection.daily(events).where("signal = 's'").collect()}
     assert read.value == len(rows)
     assert got == {("A", "s", d): 4 for d in range(1, 6)} | {("B", "s", d): int(d == 2) for d in range(1, 6)} | {("All locations", "s", d): 4 + (d == 2) for d in range(1, 6)}
+
+
+def test_weeks_are_dealt_over_tasks(spark):
+    """The folds of one series' weeks don't meet in one task, and a quantile's fold takes no more steps than its probability needs."""
+    weeks = spark.createDataFrame([("all", "s", dt.date(2016, 1, 3) + dt.timedelta(weeks=k), 20 + k % 7) for k in range(400)], "location string, signal string, day date, cases long")
+    found = detection.farrington(weeks, bound="negative-binomial")
+    assert sum(n > 0 for n in found.rdd.glom().map(len).collect()) > 32
+    mean, sd, p = F.lit(100.0), F.lit(10.0), F.lit(0.995)
+    assert spark.range(1).select(distributions._last(mean, sd, p)).first()[0] < 320
+    many = spark.createDataFrame([(m, s) for m in (0.3, 4.0, 250.0, 3000.0) for s in (0.01, 0.5, 20.0)], "m double, s double")
+    for q in (0.005, 0.5, 0.995, 0.99999):
+        for r in many.select("m", "s", distributions.negative_binomial_quantile(F.lit(q), F.col("s"), F.col("m")).alias("k")).withColumn("at", distributions.negative_binomial_probability(F.col("k"), F.col("s"), F.col("m"))).withColumn("below", distributions.negative_binomial_probability(F.col("k") - 1, F.col("s"), F.col("m"))).collect():
+            if q <= 0.995 or r.s >= 0.5:
+                assert r.at >= q - 1e-9 and r.below < q + 1e-9, r
