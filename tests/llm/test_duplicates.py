@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,25 @@ def test_line_dedup_uses_no_python(spark, monkeypatch):
         assert not re.search("ArrowEval|BatchEvalPython|MapInArrow|MapInPandas|InPandas|pythonUDF", plan)
 
 
+def test_line_dedup_writes_less_than_its_texts(spark, monkeypatch):
+    """What it keeps in the shared folder at a time, of lines that have no near copy."""
+    rnd, write, most = random.Random(8), linededup.written, [0]
+    texts = ["\n".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(300)) for _ in range(20)) for _ in range(100)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+
+    def noted(df, label):
+        out = write(df, label)
+        most[0] = max(most[0], size() - before)
+        return out
+
+    for module in (linededup, minhash, components):
+        monkeypatch.setattr(module, "written", noted)
+    got = linededup.deduplicated(documents(spark, texts)).agg(F.sum("n_removed"), F.count("*")).first()
+    assert tuple(got) == (0, 100) and most[0] < 0.8 * sum(map(len, texts))
+
+
 AWKWARD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", None, 4), (4, "word " * 30_000, "en", "a", 150_000), (5, "same text for all of these rows here, again", "en", "a", 43), (5, "same text for all of these rows here, again", "en", "a", 43), (None, "same text for all of these rows here, again", None, "b", 43), (None, None, None, None, None), (6, "x" * 100_000, "fr", "b", 100_000)]
 CLASH = ["n_tokens", "size", "target", "n_words", "n_lines", "_row", "component", "key", "places", "score"]
 
