@@ -67,6 +67,16 @@ def test_minhash_groups(spark, n):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
 
 
+def test_minhash_looks_at_few_buckets_of_one_component(spark, monkeypatch):
+    """The first bands link near copies, so that the others' buckets aren't compared again."""
+    rnd, link, rows = random.Random(3), minhash.linked, []
+    base = [f"word{rnd.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join([*base[:k], f"other{k}", *base[k + 1 :]]) for k in range(60)]
+    monkeypatch.setattr(minhash, "linked", lambda active, *a, **b: rows.append(active.count()) or link(active, *a, **b))
+    got = [r.component_id for r in minhash.classes(documents(spark, texts), 2).collect()]
+    assert got == [0] * 60 and sum(rows) < 60 * 16
+
+
 def test_densified_bins_agree_as_often_as_sets_are_similar():
     s, rnd, hits, total = minhash.Sketcher(2, 32, 1), random.Random(1), 0, 0
     for _ in range(300):
