@@ -77,6 +77,36 @@ def test_minhash_looks_at_few_buckets_of_one_component(spark, monkeypatch):
     assert got == [0] * 60 and sum(rows) < 60 * 16
 
 
+def test_links_of_all_buckets_count_before_pairs_are_made(spark, monkeypatch):
+    """What the hub of one bucket isn't similar to, but that of another is, isn't compared in pairs."""
+    compare, rows = minhash.similar, []
+    sets = [(0, list(range(78)))] + [(k, [*range(100), 1000 + k]) for k in range(1, 41)]
+    active = [(key, node, len(x)) for key in (1, 2) for node, x in sets if node or key == 1]
+    monkeypatch.setattr(minhash, "similar", lambda pairs, *a: rows.append(pairs.count()) or compare(pairs, *a))
+    got = minhash.linked(spark.createDataFrame(active, "key long, node long, n long"), spark.createDataFrame(sets, "node long, set array<long>"), 80).collect()
+    assert {r.id: r.component for r in got} == dict.fromkeys(range(1, 41), 1) and sum(rows) < 100
+
+
+@pytest.mark.parametrize("small", [2, 64])
+def test_members_of_the_largest_component_are_asked_first(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "PROBED", 0)
+    monkeypatch.setattr(minhash, "SMALL", small)
+    texts = sentences(11)
+    sets = [shingles(t, 2) for t in texts]
+    want = groups([(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])], range(len(texts)))
+    assert {r.doc_id: r.component_id for r in minhash.classes(documents(spark, texts), 2).collect()} == want
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", few)
+    rnd = random.Random(6)
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(90)]
+    want = groups(edges, {x for e in edges for x in e})
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
 def test_densified_bins_agree_as_often_as_sets_are_similar():
     s, rnd, hits, total = minhash.Sketcher(2, 32, 1), random.Random(1), 0, 0
     for _ in range(300):
