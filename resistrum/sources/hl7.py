@@ -38,15 +38,22 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def _split(value: Column, delimiter: Column) -> Column:
+def _pattern(delimiter: Column) -> Column:
     # a backslash and a mark that is no letter or digit is split at without a pattern being compiled for each value
     plain = delimiter.between("0", "9") | delimiter.between("A", "Z") | delimiter.between("a", "z")
-    return F.split(value, F.when(plain, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))).otherwise(F.concat(F.lit("\\"), delimiter)), -1)
+    return F.when(plain, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))).otherwise(F.concat(F.lit("\\"), delimiter))
+
+
+def _split(value: Column, delimiter: Column) -> Column:
+    return F.split(value, _pattern(delimiter), -1)
 
 
 def _part(value: Column, delimiter: Column, k: int, most: int) -> Column:
-    """The k-th part of value, none beyond the first `most`."""
-    return F.get(_split(value, delimiter), F.lit(k - 1)) if k <= most else F.lit(None).cast("string")
+    """The k-th part of value, none if it has fewer, and none beyond the first `most`; found without a pattern."""
+    if k > most:
+        return F.lit(None).cast("string")
+    up_to = lambda v, n: F.call_function("substring_index", v, delimiter, F.lit(n))
+    return up_to(value, 1) if k == 1 else F.when(F.length(up_to(value, k - 1)) < F.length(value), up_to(up_to(value, k), -1))
 
 
 def decoded(value: Column, d: Column) -> Column:
@@ -136,6 +143,7 @@ def parsed(messages: DataFrame, raw: str = "raw") -> DataFrame:
     text = F.coalesce(F.col(raw), F.lit(""))
     lines = F.when(F.length(text) <= MOST_CHARS, F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.rlike(r"\S"))).otherwise(F.array().cast("array<string>"))
     d = messages.withColumn("_lines", lines).withColumn("_delimiters", _delimiters(F.coalesce(F.get("_lines", F.lit(0)), F.lit(""))))
+    d = d.withColumn("_pattern", _pattern(F.col("_delimiters")["field"]))
     marks = F.array(*[F.col("_delimiters")[n] for n in DELIMITERS])
     fatal = (
         F.when(text == "", _issue("error", "message", "empty")).when(F.length(text) > MOST_CHARS, _issue("error", "message", "too long")).when(F.size("_lines") == 0, _issue("error", "message", "no segments"))
@@ -149,7 +157,7 @@ def parsed(messages: DataFrame, raw: str = "raw") -> DataFrame:
             fields = F.when(name == "MSH", F.concat(F.array(name, F.col("_delimiters")["field"]), F.slice(parts, 2, MOST_FIELDS + 1))).otherwise(parts)
             return F.struct(name.alias("id"), F.slice(fields, 1, MOST_FIELDS).alias("fields"), index.alias("index"), F.size(fields).alias("n"), name.rlike("^[A-Z][A-Z0-9]{2}$").alias("known"))
 
-        return _let(_split(line, F.col("_delimiters")["field"]), made)
+        return _let(F.split(line, F.col("_pattern"), -1), made)
 
     none = F.array().cast("array<struct<id: string, fields: array<string>, index: int, n: int, known: boolean>>")
     d = d.withColumn("_fatal", fatal).withColumn("_all", F.when(F.col("_fatal").isNull(), F.transform("_lines", segment)).otherwise(none))
@@ -168,7 +176,7 @@ def parsed(messages: DataFrame, raw: str = "raw") -> DataFrame:
     header = {"message_type": field(msh, 9, marks), "control_id": field(msh, 10, marks), "sending_application": component(msh, 3, 1, marks), "sending_facility": component(msh, 4, 1, marks), "processing_id": component(msh, 11, 1, marks)}
     usable = ~F.exists("_issues", lambda x: x["severity"] == "error")
     out = F.struct(marks.alias("delimiters"), F.col("_kept").alias("segments"), F.col("_issues").alias("issues"), *[v.alias(k) for k, v in header.items()], F.when(F.col("_version") == "", "2.5.1").otherwise(F.col("_version")).alias("version"), usable.alias("usable"))
-    return d.withColumn("hl7", out).drop("_lines", "_delimiters", "_fatal", "_all", "_kept", "_msh", "_version", "_issues")
+    return d.withColumn("hl7", out).drop("_lines", "_delimiters", "_fatal", "_all", "_kept", "_msh", "_version", "_issues", "_pattern")
 
 
 def _small(codes: DataFrame) -> DataFrame:

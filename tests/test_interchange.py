@@ -88,6 +88,16 @@ def test_codes_and_reasons(spark):
     assert r["10"].organism == "ECO" and r["11"].corrected and r["11"].results["MEM"].result == "R" and r["12"].results["MEM"].result == "S" and reasons["13"] == [("missing-field", "PID-3")]
 
 
+def test_parts_are_found_without_patterns(spark):
+    """Parts of a field are those that a split gives, and reading a component compiles no pattern unless it has escapes."""
+    values = ["", "a", "^", "a^b", "^^c", "a^^b^", "é^😀^x", None]
+    d = F.struct(*[F.lit(v).alias(k) for k, v in hl7.DELIMITERS.items()])
+    rows = spark.createDataFrame([(v,) for v in values], "x string")
+    got = rows.select(*[hl7._part(F.col("x"), d["component"], k, 3).alias(f"p{k}") for k in (1, 2, 3, 4)])
+    want = [None if v is None or k > 3 or k > len(v.split("^")) else v.split("^")[k - 1] for v in values for k in (1, 2, 3, 4)]
+    assert [x for r in got.collect() for x in r] == want and "split(" not in got._jdf.queryExecution().analyzed().toString()
+
+
 def test_batches_of_messages(spark, tmp_path):
     (tmp_path / "a.hl7").write_bytes(("\r".join(GOOD) + "\r" + "\r\n".join(GOOD[:3]) + "\r\n").encode())
     got = hl7.parsed(hl7.read_messages(spark, str(tmp_path), batches=True)).select("hl7.usable", F.size("hl7.segments")).collect()
